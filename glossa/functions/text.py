@@ -26,6 +26,11 @@ def word_tokens(col: Column | str, max_length: int | None = None) -> Column:
     return toks
 
 
+def _gram_at(t: Column, n: int):
+    # One-argument lambda (transform passes the index too when it takes two).
+    return lambda i: F.concat_ws(" ", *[F.element_at(t, i + k) for k in range(n)])
+
+
 def ngrams(tokens: Column | str, n_min: int = 1, n_max: int = 2) -> Column:
     """all n-grams for n in [n_min, n_max], tokens joined by one space."""
     t = _c(tokens)
@@ -35,27 +40,40 @@ def ngrams(tokens: Column | str, n_min: int = 1, n_max: int = 2) -> Column:
             parts.append(t)
             continue
         # sequence(1, 0) counts down, so guard short arrays explicitly.
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(t) - n + 1),
-            lambda i, n=n: F.array_join(F.slice(t, i, n), " "),
-        )
+        # element_at is O(1); slice() copies the whole array per call.
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), _gram_at(t, n))
         parts.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def term_frequencies(terms: Column | str) -> Column:
-    """Per-row term counts without a shuffle: array<struct<term, tf>>.
+def sorted_terms(terms: Column | str) -> Column:
+    """Sorted term array; materialise it as its own column before
+    ``term_frequencies`` so lambdas index a value instead of re-evaluating
+    the tokenizer per element."""
+    return F.array_sort(_c(terms))
 
-    Sorts the row's terms and measures run lengths, so (doc, term, tf) rows can
-    be produced inside the task that already holds the document.
-    """
-    s = F.array_sort(_c(terms))
+
+def run_starts(sorted_col: str) -> Column:
+    """1-based positions where a new value starts in a sorted array column."""
+    s = F.col(sorted_col)
     n = F.size(s)
-    starts = F.filter(
+    return F.filter(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
         lambda i: (n > 0) & ((i == 1) | (F.try_element_at(s, i) != F.try_element_at(s, F.greatest(i - 1, F.lit(1))))),
     )
-    k = F.size(starts)
+
+
+def term_frequencies(sorted_col: str, starts_col: str) -> Column:
+    """Per-row term counts without a shuffle: array<struct<term, tf>>.
+
+    ``sorted_col`` is an already sorted array column and ``starts_col`` its
+    ``run_starts``; both must be materialised columns so that the lambda
+    indexes values instead of re-evaluating expressions per element.  Run
+    lengths of equal neighbours are the term frequencies, so (doc, term, tf)
+    rows are produced inside the task that holds the document.
+    """
+    s, starts = F.col(sorted_col), F.col(starts_col)
+    n, k = F.size(s), F.size(starts)
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
         lambda j: F.struct(
@@ -64,7 +82,7 @@ def term_frequencies(terms: Column | str) -> Column:
              - F.try_element_at(starts, j)).cast("bigint").alias("tf"),
         ),
     )
-    return F.when(n > 0, runs).otherwise(
+    return F.when(k > 0, runs).otherwise(
         F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 

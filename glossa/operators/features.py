@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.clean import clean_col
-from glossa.functions.text import ngrams, term_frequencies, word_tokens
+from glossa.functions.text import ngrams, run_starts, sorted_terms, term_frequencies, word_tokens
 
 # Largest vocabulary that is shipped to every task as a broadcast.
 BROADCAST_VOCAB_MAX = 2_000_000
@@ -46,9 +46,12 @@ def doc_terms(
     row with NULL term (for scoring every document)."""
     keys = [key] if isinstance(key, str) else list(key)
     toks = F.col(tokens_col) if tokens_col else doc_tokens(df, text, clean)
-    grams = ngrams(toks, *ngram_range)
+    # Each stage is its own column: lambdas below index materialised arrays.
+    tok = df.select(*keys, toks.alias("_tok"))
+    grams = tok.select(*keys, sorted_terms(ngrams("_tok", *ngram_range)).alias("_g"))
+    runs = grams.select(*keys, "_g", run_starts("_g").alias("_st"))
     exploder = F.explode_outer if keep_empty else F.explode
-    return df.select(*keys, exploder(term_frequencies(grams)).alias("t")).select(
+    return runs.select(*keys, exploder(term_frequencies("_g", "_st")).alias("t")).select(
         *keys, F.col("t.term").alias("term"), F.col("t.tf").alias("tf")
     )
 

@@ -17,10 +17,15 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "glossa") -> SparkSession:
+              app_name: str = "glossa", driver_memory: str | None = None) -> SparkSession:
+    """Session for local runs and tests.  On a cluster, pass no master and
+    let the submit configuration decide; ``driver_memory`` only matters in
+    local mode, where the driver JVM runs every task."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", driver_memory or "16g")
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
