@@ -27,6 +27,7 @@ from glossa.config import settings
 from glossa.operators import features as FE
 from glossa.operators.split import class_weights
 from glossa.schemas import LABEL_NAMES
+from glossa.sources.corpus import path_exists
 
 
 @dataclass
@@ -80,13 +81,6 @@ class LinearTextModel:
         )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
-
-
 def load_first_available(spark: SparkSession, paths: Sequence[str]) -> LinearTextModel | None:
     """First loadable model in preference order, else None (degraded)."""
     for p in paths:
@@ -295,6 +289,10 @@ def fit_lr(
     cw = class_weights(train, label, class_weight)
     data = vec.join(F.broadcast(cw.select(label, "weight")), label).withColumn(
         "label_d", F.col(label).cast("double"))
+    # The optimiser reads its input once per iteration: cut the lineage into
+    # the shared checkpoint folder so a lost executor re-reads, not recomputes.
+    from glossa.session import cut_lineage
+    data = cut_lineage(data)
     total_w = data.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_d", weightCol="weight",

@@ -23,6 +23,7 @@ from glossa.operators import stats as ST
 from glossa.operators import validate as V
 from glossa.operators.normalize import merge_corpora, normalize
 from glossa.plans import data as D
+from glossa.plans import flagship as FL
 from glossa.session import read_table
 
 BASIC = {"html": "basic"}
@@ -390,4 +391,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linear_score": linear_score,
     "decision": decision,
     "linear_contributions": linear_contributions,
+    # rows-only (training, iterative or streaming; no SQL equivalent)
+    "train_lr_report": lambda spark, sf: _round(FL.train_lr_report(spark, sf)),
+    "select_best_model": lambda spark, sf: _round(FL.select_best_model(spark, sf)),
+    "embedding_lr_report": lambda spark, sf: _round(FL.embedding_lr_report(spark, sf)),
+    "batch_udf_score": lambda spark, sf: _round(FL.batch_udf_score(spark, sf)),
+    "explain_tokens": FL.explain_tokens,
+    "stream_score": lambda spark, sf: _round(FL.stream_score(spark, sf)),
+    "stream_dedup": FL.stream_dedup,
 }
