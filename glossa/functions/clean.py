@@ -96,9 +96,12 @@ def decode_html(col: Column | str, mode: str = "basic") -> Column:
         return _unescape_full(c)
     if mode != "basic":
         raise ValueError(f"unknown html mode {mode!r}")
+    decoded = c
     for ent, ch in HTML_BASIC_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+        decoded = F.replace(decoded, F.lit(ent), F.lit(ch))
+    # Every entity starts with '&': one scan skips the replace chain for
+    # texts without one (most of them).
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def replace_urls(col: Column | str) -> Column:

@@ -49,8 +49,9 @@ def ngrams(tokens: Column | str, n_min: int = 1, n_max: int = 2) -> Column:
 def sorted_terms(terms: Column | str) -> Column:
     """Sorted term array; materialise it as its own column before
     ``term_frequencies`` so lambdas index a value instead of re-evaluating
-    the tokenizer per element."""
-    return F.array_sort(_c(terms))
+    the tokenizer per element.  ``sort_array`` compares natively; the
+    one-argument ``array_sort`` evaluates a lambda comparator per comparison."""
+    return F.sort_array(_c(terms), asc=True)
 
 
 def run_starts(sorted_col: str) -> Column:

@@ -65,10 +65,12 @@ def length_bin(n_tokens) -> tuple:
 
 def accuracy_by_length(df: DataFrame, pred: str, y: str = "label", text: str = "text") -> DataFrame:
     """``bin_ord, length_bin, n, accuracy`` for observed bins in order."""
-    n_tok = whitespace_token_count(text)
-    o, lab = length_bin(n_tok)
-    t = df.select(o.alias("bin_ord"), lab.alias("length_bin"),
-                  (F.col(y) == F.col(pred)).cast("int").alias("correct"))
+    # The token count is its own column: the CASE branches below reference it
+    # many times and must not re-run the regex per branch.
+    counted = df.select(whitespace_token_count(text).alias("_n"), F.col(y), F.col(pred))
+    o, lab = length_bin(F.col("_n"))
+    t = counted.select(o.alias("bin_ord"), lab.alias("length_bin"),
+                       (F.col(y) == F.col(pred)).cast("int").alias("correct"))
     return (
         t.where(F.col("bin_ord").isNotNull())
         .groupBy("bin_ord", "length_bin")

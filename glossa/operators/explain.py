@@ -41,7 +41,7 @@ def perturbations(
     k = F.when((F.col("sample") == 0) | (d <= 1), F.lit(0)).otherwise(
         1 + F.pmod(F.xxhash64(F.col(key), F.col("sample"), F.lit(seed)), F.greatest(d - 1, F.lit(1))))
     s = s.withColumn("_k", k.cast("int")).withColumn(
-        "_hs", F.array_sort(F.transform("words", lambda w: F.xxhash64(F.col(key), F.col("sample"), w, F.lit(seed)))))
+        "_hs", F.sort_array(F.transform("words", lambda w: F.xxhash64(F.col(key), F.col("sample"), w, F.lit(seed)))))
     s = s.withColumn("_thr", F.when(F.col("_k") > 0, F.element_at("_hs", F.col("_k"))))
     kept = lambda w: F.col("_thr").isNull() | (F.xxhash64(F.col(key), F.col("sample"), w, F.lit(seed)) > F.col("_thr"))
     s = s.withColumn("kept_tokens", F.filter("_tok", kept)).withColumn("mask", F.transform("words", kept))

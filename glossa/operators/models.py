@@ -186,7 +186,7 @@ def sort_token_weights(tokens: Column | str) -> Column:
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     keyed = F.transform(t, lambda x: F.struct((-F.abs(x["weight"])).alias("k"), x["token"].alias("token"),
                                               x["weight"].alias("weight")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["token"].alias("token"), x["weight"].alias("weight")))
+    return F.transform(F.sort_array(keyed), lambda x: F.struct(x["token"].alias("token"), x["weight"].alias("weight")))
 
 
 # --------------------------------------------------------------------------- fixed-weight model
