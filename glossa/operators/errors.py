@@ -71,9 +71,14 @@ def accuracy_by_length(df: DataFrame, pred: str, y: str = "label", text: str = "
     o, lab = length_bin(F.col("_n"))
     t = counted.select(o.alias("bin_ord"), lab.alias("length_bin"),
                        (F.col(y) == F.col(pred)).cast("int").alias("correct"))
+    # Empty texts (no bin) are dropped after the aggregation, by an aggregate
+    # column: a filter on the bin itself would be pushed below the projection
+    # and re-run the token regex inside every CASE branch.
     return (
-        t.where(F.col("bin_ord").isNotNull())
-        .groupBy("bin_ord", "length_bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"))
+        t.groupBy("bin_ord", "length_bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"),
+             F.count("bin_ord").alias("_binned"))
+        .where(F.col("_binned") > 0)
+        .drop("_binned")
         .orderBy("bin_ord")
     )
