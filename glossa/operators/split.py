@@ -23,7 +23,11 @@ def hash_order(key: str, seed: int) -> F.Column:
 
 def class_quotas(df: DataFrame, label: str = "label", test_size: float = 0.2) -> DataFrame:
     """``label, n, quota`` — exact test rows per class (tiny table)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return quotas_from_counts(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, test_size)
+
+
+def quotas_from_counts(counts: DataFrame, label: str = "label", test_size: float = 0.2) -> DataFrame:
+    """Quotas from per-class counts ``label, n`` (one row per class)."""
     w_all = Window.partitionBy()
     tot = F.sum("n").over(w_all)
     n_test = F.ceil(F.lit(test_size) * tot)
@@ -45,7 +49,8 @@ def stratified_split(
     hist = base.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     cum = F.sum("_cnt").over(Window.partitionBy(label).orderBy("_b"))
     hist = hist.withColumn("_cum", cum).withColumn("_before", F.col("_cum") - F.col("_cnt"))
-    q = class_quotas(df, label, test_size)
+    # Class sizes come from the (class, bucket) histogram: no extra pass over the input.
+    q = quotas_from_counts(hist.groupBy(label).agg(F.sum("_cnt").alias("n")), label, test_size)
     bounds = (
         hist.join(q, label)
         .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_cum")))
