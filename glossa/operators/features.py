@@ -56,11 +56,14 @@ def doc_terms(
     )
 
 
-def term_stats(terms: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
-    """per term document frequency and total count."""
-    return terms.where(F.col("term").isNotNull()).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total")
-    )
+def term_stats(terms: DataFrame, key: str | list[str] = "doc_id", label: str | None = None) -> DataFrame:
+    """per term document frequency and total count; with ``label`` (a
+    column carried on the term rows) also the document frequency per class,
+    ``df_pos`` / ``df_neg``, in the same aggregation."""
+    aggs = [F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total")]
+    if label is not None:
+        aggs += [F.count_if(F.col(label) == 1).alias("df_pos"), F.count_if(F.col(label) == 0).alias("df_neg")]
+    return terms.where(F.col("term").isNotNull()).groupBy("term").agg(*aggs)
 
 
 def vocabulary(
@@ -74,7 +77,17 @@ def vocabulary(
     ``n_docs`` is a one-row DataFrame with column ``n_docs`` (documents with no
     terms count too).  ``index`` = position in term order, as a vectorizer
     assigns feature columns."""
-    st = term_stats(terms).where(F.col("df") >= min_df)
+    return vocabulary_from_stats(term_stats(terms), n_docs, min_df, max_features)
+
+
+def vocabulary_from_stats(
+    stats: DataFrame,
+    n_docs: DataFrame,
+    min_df: int = 2,
+    max_features: int | None = 50_000,
+) -> DataFrame:
+    """``vocabulary`` on an existing ``term_stats`` table."""
+    st = stats.select("term", "df", "tf_total").where(F.col("df") >= min_df)
     if max_features is not None:
         # TakeOrderedAndProject: per-partition top-k then a k x partitions merge.
         st = st.orderBy(F.col("tf_total").desc(), F.col("term").asc()).limit(max_features)

@@ -212,6 +212,33 @@ def log_count_ratio_model(
     return LinearTextModel(params=params, intercept=icpt, kind="log_count_ratio", max_features=max_features)
 
 
+def labelled_log_count_ratio_model(
+    lab: DataFrame, key: str = "doc_id", label: str = "label", text: str = "text",
+    ngram_range: tuple[int, int] = (1, 2), clean: dict | None = None, min_df: int = 2,
+    max_features: int | None = settings.max_features,
+) -> tuple[LinearTextModel, DataFrame]:
+    """``log_count_ratio_model`` from one labelled table in one term pass.
+
+    The label rides on the term rows, so the vocabulary statistics and the
+    per-class document frequencies come from a single aggregation by term
+    (same weights as ``log_count_ratio_model``).  Returns (model, vocabulary)."""
+    clean = clean or {"html": "basic"}
+    terms = FE.doc_terms(lab.select(key, label, text), [key, label], text, ngram_range, clean)
+    st = FE.term_stats(terms, label=label)
+    vocab = FE.vocabulary_from_stats(st, FE.count_docs(lab), min_df, max_features)
+    cls = lab.agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
+    v = FE.vocab_side(vocab.select("term", "idf", "index"), max_features)
+    params = st.select("term", "df_pos", "df_neg").join(v, "term").crossJoin(F.broadcast(cls)).select(
+        "term", "idf", "index",
+        (F.ln((F.col("df_pos") + 1.0) / (F.col("n_pos") + 2.0))
+         - F.ln((F.col("df_neg") + 1.0) / (F.col("n_neg") + 2.0))).alias("coef"),
+    )
+    icpt = cls.select(F.ln(F.col("n_pos") / F.col("n_neg")).alias("intercept"))
+    model = LinearTextModel(params=params, intercept=icpt, kind="log_count_ratio", ngram_range=ngram_range,
+                            max_features=max_features, clean=clean)
+    return model, vocab
+
+
 # --------------------------------------------------------------------------- training
 
 def _sparse_vector_udf(size: int):

@@ -319,8 +319,8 @@ def accuracy_by_length(spark, sf):
 
 def _fixed_model(spark, sf):
     lab = D.labelled(spark, sf)
-    terms, v = _vocab(lab)
-    return lab, MO.log_count_ratio_model(terms, lab, v, "doc_id", "label", 50_000)
+    model, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), BASIC, 2, 50_000)
+    return lab, model
 
 
 def linear_score(spark, sf):

@@ -115,25 +115,19 @@ def batch_udf_score(spark: SparkSession, sf: str) -> DataFrame:
 def explain_tokens(spark: SparkSession, sf: str, num_samples: int = 200) -> DataFrame:
     """Explanations of the held-out documents under the fixed-weight model."""
     from glossa.operators import explain as X
-    from glossa.operators import features as FE
 
     lab = D.labelled(spark, sf)
-    terms = FE.doc_terms(lab.select("doc_id", "text"), "doc_id", "text", (1, 2), {"html": "basic"})
-    vocab = FE.vocabulary(terms, FE.count_docs(lab), 2, 50_000)
-    model = MO.log_count_ratio_model(terms, lab, vocab, "doc_id", "label", 50_000)
+    model, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), {"html": "basic"}, 2, 50_000)
     split = SP.stratified_split(lab.select("doc_id", "label"), "doc_id", "label", 0.2, 42)
     test = lab.join(split.where(F.col("split") == "test").select("doc_id"), "doc_id")
     return X.explain(test.select("doc_id", "text"), model, "doc_id", "text", num_samples, 10)
 
 
 def _fixed_model_materialised(spark: SparkSession, sf: str) -> MO.LinearTextModel:
-    from glossa.operators import features as FE
     from glossa.session import cut_lineage
 
     lab = D.labelled(spark, sf)
-    terms = FE.doc_terms(lab.select("doc_id", "text"), "doc_id", "text", (1, 2), {"html": "basic"})
-    vocab = FE.vocabulary(terms, FE.count_docs(lab), 2, 50_000)
-    m = MO.log_count_ratio_model(terms, lab, vocab, "doc_id", "label", 50_000)
+    m, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), {"html": "basic"}, 2, 50_000)
     m.params = cut_lineage(m.params)
     m.intercept = float(m.intercept.first()["intercept"])
     return m
