@@ -86,3 +86,18 @@ def test_contributions_sign_agrees_with_score(corpus, trained):
     import math
 
     assert 1 / (1 + math.exp(-(contrib + model.intercept))) == pytest.approx(p, abs=1e-9)
+
+
+def test_single_pass_fixed_model_equals_two_pass(corpus):
+    from glossa.operators import features as FE
+
+    terms = FE.doc_terms(corpus.select("doc_id", "text"), "doc_id", "text", (1, 2), {"html": "basic"})
+    vocab = FE.vocabulary(terms, FE.count_docs(corpus), 1, 50_000)
+    two = MO.log_count_ratio_model(terms, corpus, vocab, "doc_id", "label", 50_000)
+    one, vocab1 = MO.labelled_log_count_ratio_model(corpus, "doc_id", "label", "text", (1, 2),
+                                                    {"html": "basic"}, 1, 50_000)
+    assert sorted(vocab.collect()) == sorted(vocab1.collect())
+    a = sorted(two.params.select("term", "idf", "index", "coef").collect())
+    b = sorted(one.params.select("term", "idf", "index", "coef").collect())
+    assert a == b
+    assert two.intercept.first()[0] == pytest.approx(one.intercept.first()[0])
