@@ -120,6 +120,12 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at)
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs ``starts[i] : starts[i] + sizes[i]``, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def row_of(at: np.ndarray) -> np.ndarray:
     """The row of every item, from the rows' offsets."""
     return np.repeat(np.arange(len(at) - 1), np.diff(at))

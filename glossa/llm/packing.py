@@ -177,16 +177,13 @@ def _batch_ids(texts: pa.Array, tok, pieces: PieceIds | None, end_id: int) -> tu
         return np.concatenate(got), np.concatenate([[0], np.cumsum([len(x) for x in got])])
     data, at = K.flat(texts)
     starts, ends, rows = K.words(data, at, _SPACES)
-    ids, which = pieces.of(data, starts, ends) if len(starts) else ([], np.zeros(0, np.int64))
-    distinct = np.array([len(x) for x in ids], np.int64)
-    pool = np.fromiter((i for x in ids for i in x), "<u4", int(distinct.sum()))
-    pool_at = np.concatenate([[0], np.cumsum(distinct)])[:-1] if len(ids) else np.zeros(0, np.int64)
-    sizes = distinct[which]
+    of_piece, pool, which = pieces.of(data, starts, ends) if len(starts) else (
+        np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    sizes = np.diff(of_piece)[which]
     sums = np.concatenate([[0], np.cumsum(sizes)])
     out_rows = sums[rows] + np.arange(n + 1)
     out = np.full(int(sums[-1]) + n, end_id, "<u4")
     place = np.ones(len(out), bool)
     place[out_rows[1:] - 1] = False
-    gather = np.repeat(pool_at[which] - sums[:-1], sizes) + np.arange(int(sums[-1]))
-    out[place] = pool[gather]
+    out[place] = pool[K.ragged(of_piece[which], sizes)]
     return out, out_rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import decontamination, packing, token_counts
+from glossa.llm import chunk_prints, decontamination, language_id, license_scan, packing, token_counts, toxicity
 from glossa.session import read_table
 
 
@@ -23,6 +23,30 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         decontamination.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.license_scan(read_table(spark, sf, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.fold(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs.where(~held_out | F.col("doc_id").isNull()))
+    return language_id.identify(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_prints.edit_likeness(read_table(spark, sf, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    held_out = language_id.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs.where(~held_out), read_table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf, "documents"), tokenizer_path())
 
@@ -33,7 +57,11 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_license_scan": op2_license_scan,
+    "op3_language_id": op3_language_id,
+    "op4_fingerprints": op4_fingerprints,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_license_scan": license_scan.oracle()}

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from glossa.llm import kernels as K
 
-CACHE = 400_000
+CACHE = 2_000_000
+JOINED = 20_000
 LONG_TEXT = 1 << 20
 _SPACES = np.ones(256, dtype=bool)
 _SPACES[[9, 10, 13, 32]] = False
@@ -63,27 +64,60 @@ def drops_spaces(tok) -> bool:
 
 
 class PieceIds:
-    """Ids of space-separated pieces: ``of`` gives, for a batch, the distinct pieces' ids
-    and which distinct piece each one is."""
+    """Ids of space-separated pieces.  Pieces not met before are encoded many at a time, as one
+    text with spaces between, and told apart by the tokens' offsets; the others come from a
+    bounded table of sorted piece hashes."""
 
     def __init__(self, tok, size: int = CACHE):
-        self.tok, self.size, self.known = tok, size, {}
-
-    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list, np.ndarray]:
-        hashes = K.span_hashes(data, starts, ends)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        if len(self.known) + len(keys) > self.size:
-            self.known = {}
-        known = self.known
-        lost = [i for i, k in enumerate(keys) if k not in known]
-        if lost:
-            raw = data.tobytes()
-            at = first[lost]
-            texts = [raw[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            for i, got in zip(lost, self.tok.encode_batch(texts, add_special_tokens=False)):
-                known[keys[i]] = got.ids
-        return [known[k] for k in keys], which
+        self.tok, self.size = tok, size
+        self.tiers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hashes, offsets, ids; smaller and smaller
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the distinct pieces: offsets and ids, one after the other; and which one each piece is."""
+        keys, first, which = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        size, parts = np.zeros(len(keys), np.int64), []
+        todo = np.arange(len(keys))
+        for hashes, at, ids in self.tiers:
+            place = np.minimum(np.searchsorted(hashes, keys[todo]), len(hashes) - 1)
+            hit = hashes[place] == keys[todo]
+            size[todo[hit]] = np.diff(at)[place[hit]]
+            parts.append((todo[hit], at[place[hit]], ids))
+            todo = todo[~hit]
+        if len(todo):
+            at, ids = self._encode(data, starts[first[todo]], ends[first[todo]])
+            size[todo] = np.diff(at)
+            parts.append((todo, at[:-1], ids))
+            self._keep(keys[todo], at, ids)
+        out_at = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(int(out_at[-1]), "<u4")
+        for rows, source, ids in parts:
+            out[K.ragged(out_at[rows], size[rows])] = ids[K.ragged(source, size[rows])]
+        return out_at, out, which
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [], []
+        for i in range(0, len(starts), JOINED):
+            s, e = starts[i:i + JOINED], ends[i:i + JOINED]
+            at = np.concatenate([[0], np.cumsum(e - s + 1)])
+            joined = np.full(int(at[-1]), 32, np.uint8)
+            joined[K.ragged(at[:-1], e - s)] = data[K.ragged(s, e - s)]
+            begins = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80)])[at[:-1]]  # in code points
+            got = self.tok.encode(joined.tobytes().decode("utf-8"), add_special_tokens=False)
+            piece = np.searchsorted(begins, [x for x, _ in got.offsets], side="right") - 1
+            ids.append(np.array(got.ids, "<u4"))
+            counts.append(np.bincount(piece, minlength=len(s)) if len(piece) else np.zeros(len(s), np.int64))
+        return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(ids)
+
+    def _keep(self, hashes: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
+        tiers = [*self.tiers, (hashes, at, ids)]
+        while len(tiers) > 1 and 2 * len(tiers[-1][0]) > len(tiers[-2][0]):
+            (h1, a1, i1), (h2, a2, i2) = tiers[-2:]
+            h, source = np.concatenate([h1, h2]), np.concatenate([a1[:-1], a2[:-1] + len(i1)])
+            size, pool = np.concatenate([np.diff(a1), np.diff(a2)]), np.concatenate([i1, i2])
+            order = np.argsort(h)
+            tiers[-2:] = [(h[order], np.concatenate([[0], np.cumsum(size[order])]),
+                           pool[K.ragged(source[order], size[order])])]
+        self.tiers = tiers if sum(len(t[0]) for t in tiers) <= self.size else []
 
 
 def _long_parts(tok, text: str) -> list[str]:
@@ -118,8 +152,8 @@ def _counter(path: str) -> Callable[[pa.Array], np.ndarray]:
         starts, ends, rows = K.words(data, at, _SPACES)
         if not len(starts):
             return np.zeros(len(texts), np.int64)
-        ids, which = pieces.of(data, starts, ends)
-        sums = np.concatenate([[0], np.cumsum(np.array([len(x) for x in ids], np.int64)[which])])
+        of_piece, _, which = pieces.of(data, starts, ends)
+        sums = np.concatenate([[0], np.cumsum(np.diff(of_piece)[which])])
         return sums[rows[1:]] - sums[rows[:-1]]
 
     return by_piece
