@@ -33,12 +33,13 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string array (null: empty) and its row offsets from 0."""
+    """The bytes of a string or binary array (null: empty) and its row offsets from 0."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    raw = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
     if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+        texts = texts.fill_null(b"" if raw else "")
+    texts = texts.cast(pa.large_binary() if raw else pa.large_string())
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import chunk_prints, decontamination, language_id, license_scan, packing, token_counts, toxicity
+from glossa.llm import chunk_prints, decontamination, language_id, license_scan, packing, recompression, suffix_dedup, token_counts, toxicity
 from glossa.session import read_table
 
 
@@ -39,6 +39,16 @@ def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_prints.edit_likeness(read_table(spark, sf, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.removed_repeats(read_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op7_recompression(spark: SparkSession, sf: str) -> DataFrame:
+    found = recompression.deduplicated(read_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     held_out = language_id.fold(F.col("doc_id"), 5) == 0
@@ -60,6 +70,8 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_fingerprints": op4_fingerprints,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_recompression": op7_recompression,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,

@@ -8,9 +8,11 @@ against it, which keeps the model from memorising the positives.  The class
 prior pi is the share of toxic rows among the labelled training rows.
 
 The fit uses at most ``per_side`` positives and as many unlabelled rows (a
-documented bound, chosen by a hash of the text); a feature is a folded word
-``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` that ``min_docs`` of them hold.  Scoring
-reads every whole text.
+documented bound, chosen by a hash of the text).  A feature is a folded word
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` that enough of the positives hold and that is
+significantly more frequent among them than among the unlabelled (``LEAST_SHARE``,
+``LEAST_Z``), which keeps words out that a few copies share by chance.  Scoring reads
+every whole text.
 
 Null and empty texts score by the intercept alone.  Without positives nothing is
 learned and every score is 0.  Rows with null labels are unlabelled; a doc id
@@ -32,7 +34,8 @@ from glossa.llm import kernels as K
 
 PER_SIDE = 10_000
 MIN_DOCS = 3
-STEPS, RATE, DECAY, SLACK, BACK = 300, 0.1, 2e-5, 0.0, 1.0
+LEAST_SHARE, LEAST_Z = 0.02, 8.0
+STEPS, RATE, DECAY, SLACK, BACK = 300, 0.1, 1e-4, 0.0, 1.0
 DEFAULT_PRIOR = 0.1
 
 
@@ -68,6 +71,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
+def telling(in_positives: np.ndarray, in_all: np.ndarray, positives: int, rows: int, min_docs: int) -> np.ndarray:
+    """Which words mark the positives: frequent enough there, and by far more than elsewhere."""
+    rest = max(1, rows - positives)
+    lift = in_positives / positives - (in_all - in_positives) / rest
+    z = lift / np.sqrt((in_all + 1) / rows / positives)
+    return (z >= LEAST_Z) & (in_positives >= max(min(min_docs, positives), LEAST_SHARE * positives))
+
+
 def train(cols: np.ndarray, rows: np.ndarray, positive: np.ndarray, size: int,
           prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam steps on the non-negative risk."""
@@ -130,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sizes = np.diff(lists.offsets.to_numpy())
     positive = got.column("p").to_numpy().astype(bool)
     words, which, count = np.unique(h, return_inverse=True, return_counts=True)
-    kept = count >= min(min_docs, max(1, int(positive.sum())))
+    kept = telling(np.bincount(which, weights=np.repeat(positive, sizes), minlength=len(words)), count,
+                   int(positive.sum()), len(positive), min_docs)
     place = np.cumsum(kept) - 1
     use = kept[which]
     row = np.repeat(np.arange(len(sizes)), sizes)[use]
