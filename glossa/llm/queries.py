@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import chunk_prints, decontamination, language_id, license_scan, packing, recompression, suffix_dedup, token_counts, toxicity
+from glossa.llm import chunk_prints, decontamination, language_id, license_scan, ngram_join, packing, recompression, suffix_dedup, token_counts, toxicity
 from glossa.session import read_table
 
 
@@ -44,6 +44,10 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf, "documents"))
+
+
 def op7_recompression(spark: SparkSession, sf: str) -> DataFrame:
     found = recompression.deduplicated(read_table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_recompression": op7_recompression,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,

@@ -26,8 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from glossa.llm import kernels as K
 from glossa.llm import repeats as R
@@ -155,34 +157,65 @@ def _cutter(window: int):
     return cut
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                 rounds: int = ROUNDS) -> DataFrame:
-    """(key, s, n_words, n_removed, kept): every text without its later copies of long passages;
-    ``s`` is 0, or a hash of the text where keys repeat."""
-    texts = R.identified(docs, key, text)
+def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Per batch (body in column 2, spans in column 3): words, removed words and kept text of each row."""
+    for batch in K.slices(batches, text=2):
+        data, at = K.flat(batch.column(2))
+        s, e, rows = K.words(data, at, K.NONSPACE)
+        of, lo, n = R.span_arrays(batch.column(3))
+        start = rows[K.row_of(of)] + lo
+        keep = ~K.covered(start, start + n - 1 + window, len(s))
+        size = (e - s)[keep] + 1
+        out_at = np.concatenate([[0], np.cumsum(size)])
+        joined = np.full(int(out_at[-1]), 32, np.uint8)
+        joined[K.ragged(out_at[:-1], size - 1)] = data[K.ragged(s[keep], size - 1)]
+        raw = joined.tobytes()
+        kept_rows = np.concatenate([[0], np.cumsum(keep)])[rows]
+        edge = out_at[kept_rows].tolist()
+        kept = [raw[x:max(x, y - 1)].decode("utf-8") for x, y in zip(edge[:-1], edge[1:])]
+        n_words = np.diff(rows)
+        yield batch, [pa.array(n_words), pa.array(n_words - np.diff(kept_rows)), pa.array(kept, pa.string())]
+
+
+def _spanned(docs: DataFrame, key: str, text: str, window: int, rounds: int) -> tuple[DataFrame, list[str]]:
+    """Texts beside their spans; the document's other columns travel in ``rest``."""
+    others = [c for c in docs.columns if c not in (key, text)]
+    packed = docs.select(F.col(key).alias(key), F.col(text).alias(text),
+                         F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("rest"))
+    texts = R.identified(packed, key, text, "rest")
     spans = R.found_spans(texts, [_kernel(window, rounds), _kernel(window, None)], _cutter(window), "string",
                           True, "recompression")
+    joined = texts.join(spans, ["k", "s"], "left").select(R.key_back(F.col("k")).alias("k"), "rest", "body", "spans")
+    return joined, others
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                 rounds: int = ROUNDS) -> DataFrame:
+    """(key, n_words, n_removed, kept): every text without its later copies of long passages,
+    the words that stay joined by one space."""
+    joined, _ = _spanned(docs.select(key, text), key, text, window, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, text=2):
-            data, at = K.flat(batch.column(2))
-            s, e, rows = K.words(data, at, K.NONSPACE)
-            of, lo, n = R.span_arrays(batch.column(3))
-            start = rows[K.row_of(of)] + lo
-            keep = ~K.covered(start, start + n - 1 + window, len(s))
-            size = (e - s)[keep] + 1
-            out_at = np.concatenate([[0], np.cumsum(size)])
-            joined = np.full(int(out_at[-1]), 32, np.uint8)
-            joined[K.ragged(out_at[:-1], size - 1)] = data[K.ragged(s[keep], size - 1)]
-            raw = joined.tobytes()
-            kept_rows = np.concatenate([[0], np.cumsum(keep)])[rows]
-            edge = out_at[kept_rows].tolist()
-            kept = [raw[x:max(x, y - 1)].decode("utf-8") for x, y in zip(edge[:-1], edge[1:])]
-            n_words, n_kept = np.diff(rows), np.diff(kept_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words), pa.array(n_words - n_kept), pa.array(kept, pa.string())],
-                names=[key, "s", "n_words", "n_removed", "kept"])
-
-    joined = texts.join(spans, ["k", "s"], "left").select(R.key_back(F.col("k")).alias("k"), "s", "body", "spans")
-    return joined.mapInArrow(run, f"`{key}` long, s long, n_words long, n_removed long, kept string")
+        for batch, cols in _without(batches, window):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[key, "n_words", "n_removed", "kept"])
+
+    return joined.mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept string")
+
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                    rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with the same columns and rows, texts cleared of later copies of long passages.
+    Texts that lose nothing stay as they are."""
+    joined, others = _spanned(docs, key, text, window, rounds)
+    rest = joined.schema["rest"]
+    schema = StructType([StructField("k", LongType()), rest, StructField("body", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (_, removed, kept) in _without(batches, window):
+            body = pc.if_else(pc.equal(removed, 0), batch.column(2), kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], names=["k", "rest", "body"])
+
+    kind = dict(docs.dtypes)
+    out = joined.mapInArrow(run, schema)
+    return out.select(*[F.col("k").cast(kind[key]).alias(key) if c == key else F.col("body").alias(text) if c == text
+                        else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -50,13 +50,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, s, base, body): a text and what names it.  Where keys repeat or are null, ``s``
-    is a hash of the text, so that equal rows share their name and others do not."""
-    own = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+def identified(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """(k, s, base, body, *carried): a text and what names it.  Where keys repeat or are null,
+    ``s`` is a hash of the text, so that equal rows share their name and others do not."""
+    own = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"),
+                      *carried)
     twice = own.groupBy("k").count().where("count > 1 or k is null")
     s = F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64("body")
-    return own.select(F.coalesce("k", F.lit(NO_KEY)).alias("k"), s.alias("s"), F.lit(0).alias("base"), "body")
+    return own.select(F.coalesce("k", F.lit(NO_KEY)).alias("k"), s.alias("s"), F.lit(0).alias("base"), "body", *carried)
 
 
 def key_back(k: Column) -> Column:

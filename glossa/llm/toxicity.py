@@ -152,6 +152,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(words[kept], w, b, prior)
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that the model predicts toxic, columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, text=place):
+            clean = shared.value.logits(*distinct_words(batch.column(place))) < 0
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
