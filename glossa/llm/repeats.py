@@ -103,8 +103,8 @@ def _unpack(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def level(texts: DataFrame, kernel: Kernel, earlier: bool) -> DataFrame:
-    """(k, s, base, lo, n, found): bundles all of whose windows occur again (``found``), and one
-    place of each hull of the keys that are still open.
+    """(k, s, base, lo, n, found): bundles all of whose windows occur again (``found``), and those
+    that stand for their hulls where a key is still open.
 
     ``earlier``: only occurrences in a text with a smaller k count; else any other place does.
     """
@@ -127,7 +127,9 @@ def level(texts: DataFrame, kernel: Kernel, earlier: bool) -> DataFrame:
             found = places["k"] > fh if earlier else nh > 1
             head = np.ones(len(places), bool)
             head[1:] = row[1:] != row[:-1]
-            for which, mark in ((found, True), (still & head & (first == fh), False)):
+            # with ``earlier``, all places in the hull's first text are undecided; else one stands for all
+            undecided = still & (places["k"] == fh if earlier else head & (first == fh))
+            for which, mark in ((found, True), (undecided, False)):
                 p = places[which]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ascontiguousarray(p[c])) for c in PLACE.names] + [pa.array(np.full(len(p), mark))],

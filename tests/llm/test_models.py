@@ -1,0 +1,118 @@
+"""Language identification and toxicity: held-out accuracy, and defined results at the edges."""
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from glossa.llm import language_id, toxicity
+
+from llm_helpers import build, by_row
+
+SYLLABLES = {"en": ["the", "ing", "wh", "ou", "ed"], "de": ["sch", "ein", "ung", "ü", "er"], "es": ["ción", "os", "que", "ñ", "ar"]}
+
+
+def invented(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def corpus(spark, n=240):
+    rng = random.Random(1)
+    rows = [(i, invented(rng, lang := rng.choice(sorted(SYLLABLES)), rng.randint(3, 60)), lang) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_language_held_out(spark):
+    rows, docs = corpus(spark)
+    train = docs.where(language_id.fold(F.col("doc_id"), 4) != 2)
+    model = language_id.fit(train)
+    assert model.languages == sorted(SYLLABLES)
+    got = by_row(language_id.identify(docs, model))
+    assert np.mean([got[i][0]["lang_pred"] == lang for i, _, lang in rows]) > 0.97
+
+
+def test_backoff_uses_shorter_grams():
+    """Unknown words are scored by the longest n-grams that any known word shares with them."""
+    rng = random.Random(2)
+    data = {lang: [invented(rng, lang, 1) for _ in range(200)] for lang in SYLLABLES}
+    pred = {}
+    words, s, e, _ = language_id.letter_words([" ".join(v) for v in data.values()])
+    langs = sorted(data)
+    code = np.repeat([langs.index(k) for k in data], 200)
+    chars, at = language_id._edged(words, s, e)
+    grams = {}
+    for order in language_id.ORDERS:
+        h, w = language_id._grams(chars, at, order)
+        grams[order] = language_id._table(h, code[w], np.ones(len(h)), 3, 1)
+    none = language_id._table(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0), 3, 1)
+    model = language_id.Model(langs, none, grams)
+    pred, _ = model.predict(["ungungungung", "whingwhing", "quequeción", "zzzzz", "ü"])
+    assert pred[:3] == ["de", "en", "es"] and pred[4] == "de" and pred[3] in langs
+
+
+def test_language_edges(spark, edge, edge_texts, empty):
+    model = language_id.fit(edge)
+    got = by_row(language_id.identify(edge, model))
+    assert sum(map(len, got.values())) == len(edge_texts)
+    for d in (1, 2, 3, 43):
+        assert got[d][0]["lang_pred"] == "und" and got[d][0]["score"] == 0.0
+    assert got[42][0]["lang_pred"] == "en" and all(0 <= r[0]["score"] <= 1 for r in got.values())
+    nothing = language_id.fit(empty)
+    assert {r["lang_pred"] for r in language_id.identify(edge, nothing).collect()} == {"und"}
+    assert language_id.identify(empty, model).count() == 0
+    unlabelled = language_id.fit(edge.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.languages == []
+
+
+def toxic_corpus(spark, n=1200):
+    rng = random.Random(4)
+    bad = ["vile", "scumbag", "hateful", "moronic"]
+    texts, labels = [], []
+    for i in range(n):
+        words = [f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randint(5, 120))]
+        toxic = rng.random() < 0.2
+        if toxic:
+            for w in rng.sample(bad, 2):
+                words.insert(rng.randrange(len(words)), w.upper() if rng.random() < 0.3 else w)
+        texts.append((i, " ".join(words)))
+        if rng.random() < 0.5:
+            labels.append((i, int(toxic)))
+        else:
+            labels.append((i, None)) if rng.random() < 0.1 else None
+    truth = {i: any(b in t.lower() for b in bad) for i, t in texts}
+    return texts, truth, build(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_held_out(spark):
+    texts, truth, docs, labels = toxic_corpus(spark)
+    model = toxicity.fit(docs.where(language_id.fold(F.col("doc_id"), 5) != 0), labels)
+    got = by_row(toxicity.score(docs, model))
+    hits = [got[i][0]["predicted"] == truth[i] for i, _ in texts]
+    assert np.mean(hits) > 0.97
+    assert all(r[0]["predicted"] == int(r[0]["score"] >= 0.5) for r in got.values())
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r[0]["predicted"]}
+
+
+def test_toxicity_edges(spark, edge, edge_texts, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(edge, none)
+    got = toxicity.score(edge, model).collect()
+    assert len(got) == len(edge_texts) and {(r["score"], r["predicted"]) for r in got} == {(0.0, 0)}
+    some = spark.createDataFrame([(10, 1), (10, 0), (11, 1), (None, 1), (20, None)], "doc_id long, toxic int")
+    model = toxicity.fit(edge, some)
+    assert 0 < model.prior < 1
+    assert len(toxicity.score(edge, model).collect()) == len(edge_texts)
+    assert toxicity.score(empty, model).count() == 0 and toxicity.without_toxic(empty, model).count() == 0
+
+
+def test_nonnegative_risk_keeps_the_prior():
+    """With pure noise features the mean prediction stays near the class prior."""
+    rng = np.random.default_rng(0)
+    n, size = 600, 50
+    rows = np.arange(0, n * 5 + 1, 5)
+    cols = rng.integers(0, size, n * 5)
+    positive = np.arange(n) < 100
+    w, b = toxicity.train(cols, rows, positive, size, 0.15)
+    z = b + np.add.reduceat(w[cols], rows[:-1])
+    assert 0.02 < toxicity._sigmoid(z).mean() < 0.5
