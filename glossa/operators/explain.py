@@ -37,9 +37,9 @@ def perturbations(
     base = base.select(key, "_tok", F.array_distinct("_tok").alias("words"))
     s = base.select(key, "_tok", "words", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("sample"))
     d = F.size("words")
-    # number of words to remove, uniform in [1, d-1] (0 for the intact sample)
-    k = F.when((F.col("sample") == 0) | (d <= 1), F.lit(0)).otherwise(
-        1 + F.pmod(F.xxhash64(F.col(key), F.col("sample"), F.lit(seed)), F.greatest(d - 1, F.lit(1))))
+    # number of words to remove, uniform in [1, d] (0 for the intact sample)
+    k = F.when((F.col("sample") == 0) | (d < 1), F.lit(0)).otherwise(
+        1 + F.pmod(F.xxhash64(F.col(key), F.col("sample"), F.lit(seed)), F.greatest(d, F.lit(1))))
     s = s.withColumn("_k", k.cast("int")).withColumn(
         "_hs", F.sort_array(F.transform("words", lambda w: F.xxhash64(F.col(key), F.col("sample"), w, F.lit(seed)))))
     s = s.withColumn("_thr", F.when(F.col("_k") > 0, F.element_at("_hs", F.col("_k"))))
@@ -54,12 +54,10 @@ def _surrogate_fn(key: str, num_features: int):
         words = list(pdf["words"].iloc[0])
         X = np.array([np.asarray(m, dtype=np.float64) for m in pdf["mask"]]).reshape(len(pdf), len(words))
         y = pdf["probability"].to_numpy(dtype=np.float64)
-        d = max(len(words), 1)
+        d = len(words)
         kept = X.sum(axis=1)
         dist = (1.0 - np.sqrt(kept / d)) * 100.0
         sw = np.sqrt(np.exp(-(dist ** 2) / KERNEL_WIDTH ** 2))
-        if len(words) == 0:
-            return pd.DataFrame({key: [], "token": [], "weight": []})
         # weighted ridge with intercept, in dual form (samples << words is typical)
         wsum = sw.sum()
         xm = (sw[:, None] * X).sum(axis=0) / wsum
@@ -81,7 +79,7 @@ def explain(
     num_samples: int = settings.explain_samples, num_features: int = settings.explain_features,
     seed: int = settings.random_seed,
 ) -> DataFrame:
-    """``key, probability, decision, threshold, tokens, model_version``.
+    """``key, text, probability, decision, threshold, tokens, model_version``.
 
     ``tokens`` is array<struct<token, weight>> sorted by |weight| descending."""
     pert = perturbations(df, key, text, num_samples, seed, model.clean)
@@ -91,11 +89,12 @@ def explain(
     key_type = df.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("token", T.StringType()),
                                T.StructField("weight", T.DoubleType())])
-    weights = joined.groupBy(key).applyInPandas(_surrogate_fn(key, num_features), out_schema)
+    # a text without tokens has nothing to weigh: the left join below gives it an empty list
+    weights = joined.where(F.size("words") > 0).groupBy(key).applyInPandas(_surrogate_fn(key, num_features), out_schema)
     tokens = weights.groupBy(key).agg(
         MO.sort_token_weights(F.collect_list(F.struct("token", "weight").cast(TOKEN_WEIGHT))).alias("tokens"))
     intact = scored.where(F.col("sample") == 0).select(key, "probability")
-    res = intact.join(tokens, key, "left").withColumn(
+    res = df.select(key, text).join(intact, key).join(tokens, key, "left").withColumn(
         "tokens", F.coalesce("tokens", F.array().cast(T.ArrayType(TOKEN_WEIGHT))))
-    return MO.with_decision(res, model).select(key, "probability", "decision", "threshold", "tokens",
-                                               "model_version")
+    return MO.with_decision(res, model).select(key, text, "probability", "decision", "threshold",
+                                               "tokens", "model_version")

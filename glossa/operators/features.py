@@ -4,8 +4,8 @@ Plan shape (per document row, no shuffle until the vocabulary):
   clean -> tokens -> n-grams -> in-row term counts -> explode (doc, term, tf)
 Vocabulary: one aggregation by term (map-side partial counts, so a term that
 occurs in a third of all documents costs one row per task), min_df filter,
-then the top ``max_features`` by corpus frequency (ties by term).  The
-vocabulary is bounded by ``max_features`` and is broadcast only then.
+then the top ``max_features`` by corpus frequency (ties by term).  Whether a
+join broadcasts the vocabulary is left to its measured size.
 
 Weights follow the reference vectorizer: case-sensitive terms, sublinear tf
 ``1 + ln(tf)``, smoothed idf ``ln((1 + N) / (1 + df)) + 1``, row L2 norm.
@@ -18,15 +18,16 @@ from pyspark.sql import functions as F
 
 from glossa.functions.clean import clean_col
 from glossa.functions.text import ngrams, run_starts, sorted_terms, term_frequencies, word_tokens
+from glossa.session import cut_lineage
 
-# Largest vocabulary that is shipped to every task as a broadcast.
-BROADCAST_VOCAB_MAX = 2_000_000
+# Features and scores decode every HTML entity unless told otherwise.
+FULL_CLEAN = {"html": "full"}
 
 
 def doc_tokens(df: DataFrame, text: str = "text", clean: dict | None = None,
                max_length: int | None = None) -> Column:
     """F1 on cleaned text (+F7 truncation)."""
-    flags = {"html": "basic"} if clean is None else clean
+    flags = FULL_CLEAN if clean is None else clean
     return word_tokens(clean_col(text, **flags), max_length)
 
 
@@ -93,40 +94,40 @@ def vocabulary_from_stats(
         st = st.orderBy(F.col("tf_total").desc(), F.col("term").asc()).limit(max_features)
         st = st.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
     else:
-        # Unbounded vocabulary: distributed sort + index (no single-partition window).
-        ordered = st.orderBy("term")
-        st = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(
-            ordered.columns + ["index"]
-        ).withColumn("index", F.col("index").cast("int"))
+        st = term_index(st)
     idf = F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
     return st.crossJoin(F.broadcast(n_docs)).select(
         "term", "df", "tf_total", idf.alias("idf"), "index"
     )
 
 
-def count_docs(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
+def term_index(terms: DataFrame) -> DataFrame:
+    """Adds ``index``, the position in term order, without one task for all terms: terms are
+    dealt into ranges, ranked inside each, and shifted by the sizes of the ranges before."""
+    n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(terms.repartitionByRange(n, "term").withColumn("_p", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    shift = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(before, F.lit(0)).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("term"))
+    return (ranged.withColumn("_r", rank).join(F.broadcast(shift), "_p")
+            .withColumn("index", (F.col("_r") + F.col("_s") - 1).cast("int")).drop("_p", "_r", "_s"))
 
 
-def vocab_side(vocab: DataFrame, max_features: int | None) -> DataFrame:
-    """Broadcast the vocabulary only when its size is bounded by ``max_features``."""
-    if max_features is not None and max_features <= BROADCAST_VOCAB_MAX:
-        return F.broadcast(vocab)
-    return vocab
+def count_docs(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
 
 
 def tfidf(
     terms: DataFrame,
     vocab: DataFrame,
     key: str | list[str] = "doc_id",
-    max_features: int | None = 50_000,
     sublinear_tf: bool = True,
     normalize: bool = True,
 ) -> DataFrame:
     """``(key..., term, index, weight)`` for in-vocabulary terms."""
     keys = [key] if isinstance(key, str) else list(key)
     tfw = (1.0 + F.ln(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
-    j = terms.join(vocab_side(vocab.select("term", "idf", "index"), max_features), "term")
+    j = terms.join(vocab.select("term", "idf", "index"), "term")
     w = j.select(*keys, "term", "index", (tfw * F.col("idf")).alias("w"))
     if not normalize:
         return w.withColumnRenamed("w", "weight")

@@ -27,6 +27,7 @@ from glossa.config import settings
 from glossa.operators import features as FE
 from glossa.operators.split import class_weights
 from glossa.schemas import LABEL_NAMES
+from glossa.session import cut_lineage, materialized
 from glossa.sources.corpus import path_exists
 
 
@@ -44,7 +45,7 @@ class LinearTextModel:
     kind: str = "baseline"
     ngram_range: tuple[int, int] = settings.ngram_range
     max_features: int | None = settings.max_features
-    clean: dict = field(default_factory=lambda: {"html": "basic"})
+    clean: dict = field(default_factory=lambda: dict(FE.FULL_CLEAN))
 
     def save(self, path: str) -> None:
         """Parameter table as parquet plus a one-row metadata table."""
@@ -66,7 +67,7 @@ class LinearTextModel:
     def load(cls, spark: SparkSession, path: str) -> "LinearTextModel":
         """Load; a missing path raises FileNotFoundError."""
         if not path_exists(spark, f"{path}/meta"):
-            raise FileNotFoundError(f"model artifact not found at {path}")
+            raise FileNotFoundError(f"{path} holds no saved linear model")
         meta = spark.read.parquet(f"{path}/meta").first()
         opts = json.loads(meta["options"])
         return cls(
@@ -82,11 +83,12 @@ class LinearTextModel:
 
 
 def load_first_available(spark: SparkSession, paths: Sequence[str]) -> LinearTextModel | None:
-    """First loadable model in preference order, else None (degraded)."""
+    """First present model in preference order, else None (degraded).  Only a
+    missing one is passed over; one that cannot be read raises."""
     for p in paths:
         try:
             return LinearTextModel.load(spark, p)
-        except Exception:  # noqa: BLE001 - any unreadable artifact is skipped
+        except FileNotFoundError:
             continue
     return None
 
@@ -114,7 +116,7 @@ def score_terms(
     Documents with no known term keep one row (NULL term) and score the
     intercept alone."""
     keys = ([key] if isinstance(key, str) else list(key)) + list(carry)
-    p = FE.vocab_side(model.params.select("term", "idf", "coef"), model.max_features)
+    p = model.params.select("term", "idf", "coef")
     j = terms.join(p, "term", "left")
     w = (1.0 + F.ln(F.col("tf"))) * F.col("idf")
     per_doc = j.groupBy(*keys).agg(
@@ -170,7 +172,7 @@ def term_contributions(
     top-k per document by |contribution| (ties by term)."""
     from pyspark.sql import Window
 
-    p = FE.vocab_side(model.params.select("term", "idf", "coef"), model.max_features)
+    p = model.params.select("term", "idf", "coef")
     j = terms.join(p, "term")
     w = (1.0 + F.ln(F.col("tf"))) * F.col("idf")
     x = j.select(key, "term", (w * F.col("coef")).alias("_wc"), (w * w).alias("_ww"))
@@ -199,17 +201,20 @@ def log_count_ratio_model(
     coef = ln((df_pos + 1) / (n_pos + 2)) - ln((df_neg + 1) / (n_neg + 2)),
     intercept = ln(n_pos / n_neg).  Used for relational-scoring checks."""
     j = terms.where(F.col("term").isNotNull()).join(labels.select(key, label), key)
-    dfs = j.groupBy("term").agg(
-        F.count_if(F.col(label) == 1).alias("df_pos"), F.count_if(F.col(label) == 0).alias("df_neg"))
+    return _ratio_model(FE.term_stats(j, label=label), labels, vocab, label, max_features=max_features)
+
+
+def _ratio_model(stats: DataFrame, labels: DataFrame, vocab: DataFrame, label: str, **options) -> LinearTextModel:
+    """The weight rule on per-term class frequencies (``df_pos``, ``df_neg``)."""
     cls = labels.agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
-    v = FE.vocab_side(vocab.select("term", "idf", "index"), max_features)
-    params = dfs.join(v, "term").crossJoin(F.broadcast(cls)).select(
+    v = vocab.select("term", "idf", "index")
+    params = stats.select("term", "df_pos", "df_neg").join(v, "term").crossJoin(F.broadcast(cls)).select(
         "term", "idf", "index",
         (F.ln((F.col("df_pos") + 1.0) / (F.col("n_pos") + 2.0))
          - F.ln((F.col("df_neg") + 1.0) / (F.col("n_neg") + 2.0))).alias("coef"),
     )
     icpt = cls.select(F.ln(F.col("n_pos") / F.col("n_neg")).alias("intercept"))
-    return LinearTextModel(params=params, intercept=icpt, kind="log_count_ratio", max_features=max_features)
+    return LinearTextModel(params=params, intercept=icpt, kind="log_count_ratio", **options)
 
 
 def labelled_log_count_ratio_model(
@@ -222,20 +227,11 @@ def labelled_log_count_ratio_model(
     The label rides on the term rows, so the vocabulary statistics and the
     per-class document frequencies come from a single aggregation by term
     (same weights as ``log_count_ratio_model``).  Returns (model, vocabulary)."""
-    clean = clean or {"html": "basic"}
+    clean = clean or dict(FE.FULL_CLEAN)
     terms = FE.doc_terms(lab.select(key, label, text), [key, label], text, ngram_range, clean)
     st = FE.term_stats(terms, label=label)
     vocab = FE.vocabulary_from_stats(st, FE.count_docs(lab), min_df, max_features)
-    cls = lab.agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"))
-    v = FE.vocab_side(vocab.select("term", "idf", "index"), max_features)
-    params = st.select("term", "df_pos", "df_neg").join(v, "term").crossJoin(F.broadcast(cls)).select(
-        "term", "idf", "index",
-        (F.ln((F.col("df_pos") + 1.0) / (F.col("n_pos") + 2.0))
-         - F.ln((F.col("df_neg") + 1.0) / (F.col("n_neg") + 2.0))).alias("coef"),
-    )
-    icpt = cls.select(F.ln(F.col("n_pos") / F.col("n_neg")).alias("intercept"))
-    model = LinearTextModel(params=params, intercept=icpt, kind="log_count_ratio", ngram_range=ngram_range,
-                            max_features=max_features, clean=clean)
+    model = _ratio_model(st, lab, vocab, label, ngram_range=ngram_range, max_features=max_features, clean=clean)
     return model, vocab
 
 
@@ -270,12 +266,11 @@ def fit_features(
 
     The vocabulary is cut from the plan (reliable checkpoint to the shared
     folder) because every later stage reads it."""
-    clean = clean or {"html": "basic"}
+    clean = clean or dict(FE.FULL_CLEAN)
     terms = FE.doc_terms(df.select(key, text), key, text, ngram_range, clean)
     vocab = FE.vocabulary(terms, FE.count_docs(df), min_df, max_features)
     if checkpoint:
-        from glossa.session import cut_lineage
-        vocab = cut_lineage(vocab)
+        vocab = materialized(vocab, "vocabulary")
     size = vocab.count()
     return FeatureSpace(vocab, size, ngram_range, max_features, clean)
 
@@ -288,7 +283,7 @@ def vectorize(
     keys = [key] + list(carry)
     src = df.select(*keys, *([tokens_col] if tokens_col else [text]))
     terms = FE.doc_terms(src, keys, text, fs.ngram_range, fs.clean, tokens_col=tokens_col, keep_empty=True)
-    v = FE.vocab_side(fs.vocab.select("term", "idf", "index"), fs.max_features)
+    v = fs.vocab.select("term", "idf", "index")
     j = terms.join(v, "term", "left")
     w = (1.0 + F.ln(F.col("tf"))) * F.col("idf")
     per_doc = j.groupBy(*keys).agg(
@@ -306,20 +301,21 @@ def fit_lr(
     train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label",
     C: float = settings.C, class_weight="balanced", max_iter: int = settings.max_iter,
     tol: float = 1e-4, fs: FeatureSpace | None = None, threshold: float = settings.threshold,
-    model_version: str = settings.model_version, **feature_kw,
+    model_version: str = settings.model_version, vectors: DataFrame | None = None, **feature_kw,
 ) -> tuple[LinearTextModel, object]:
     """T4/T5: balanced L2 logistic regression on TF-IDF.
 
-    Returns the relational ``LinearTextModel`` and the Spark ML model."""
+    ``vectors`` is ``vectorize(train)`` already cut from its lineage, for several fits on one
+    table.  Returns the relational ``LinearTextModel`` and the Spark ML model."""
     fs = fs or fit_features(train, key, text, **feature_kw)
-    vec = vectorize(train, fs, key, text, carry=[label])
+    vec = vectors if vectors is not None else vectorize(train, fs, key, text, carry=[label])
     cw = class_weights(train, label, class_weight)
     data = vec.join(F.broadcast(cw.select(label, "weight")), label).withColumn(
         "label_d", F.col(label).cast("double"))
-    # The optimiser reads its input once per iteration: cut the lineage into
-    # the shared checkpoint folder so a lost executor re-reads, not recomputes.
-    from glossa.session import cut_lineage
-    data = cut_lineage(data)
+    if vectors is None:
+        # The optimiser reads its input once per iteration: cut the lineage into
+        # the shared checkpoint folder so a lost executor re-reads, not recomputes.
+        data = cut_lineage(data)
     total_w = data.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_d", weightCol="weight",
@@ -330,7 +326,7 @@ def fit_lr(
     spark = train.sparkSession
     coefs = ml.coefficients.toArray()  # model parameters: bounded by the vocabulary size
     cdf = spark.createDataFrame([(int(i), float(c)) for i, c in enumerate(coefs)], "index int, coef double")
-    params = fs.vocab.select("term", "idf", "index").join(cdf, "index")
+    params = materialized(fs.vocab.select("term", "idf", "index").join(cdf, "index"), "params")
     model = LinearTextModel(params=params, intercept=float(ml.intercept), threshold=threshold,
                             model_version=model_version, kind="baseline", ngram_range=fs.ngram_range,
                             max_features=fs.max_features, clean=fs.clean)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from glossa.schemas import CORPUS, CORPUS_COLUMNS, LABEL, REGISTER, SOURCE, TEXT
 
@@ -14,10 +16,16 @@ TEXT_ALIASES = ("text", "tweet", "content", "sentence")
 LABEL_ALIASES = ("label", "sarcastic", "is_sarcastic", "target")
 
 
-def first_present(df: DataFrame, candidates: Sequence[str]) -> str | None:
-    """First candidate column present in ``df`` (analysis time only)."""
-    cols = set(df.columns)
-    return next((c for c in candidates if c in cols), None)
+class UnresolvedColumn(KeyError):
+    """A table has none of the names under which a column is known."""
+
+
+def resolve(df: DataFrame, role: str, names: Sequence[str]) -> Column:
+    """The column that plays ``role``, by the first of its known names that the table has."""
+    for name in names:
+        if name in df.columns:
+            return F.col(f"`{name}`")
+    raise UnresolvedColumn(f"no {role} column among {', '.join(df.columns)} (known as {', '.join(names)})")
 
 
 def normalize(
@@ -28,21 +36,15 @@ def normalize(
     source_col: str | None = None,
     register_col: str | None = None,
     keep: Sequence[str] = (),
-    check_null_labels: bool = False,
+    null_labels: str = "fail",
 ) -> DataFrame:
     """Resolve text/label aliases, cast, tag source/register.
 
     Output columns: ``keep`` (e.g. a row key) followed by
     ``text, label, source, language_register``.  The tag is a literal
-    (``source=``/``register=``) or taken from a column (``*_col=``).
+    (``source=``/``register=``) or taken from a column (``*_col=``).  A NULL label
+    fails the job that meets it, unless ``null_labels="keep"``.
     """
-    text_col = first_present(df, TEXT_ALIASES)
-    label_col = first_present(df, LABEL_ALIASES)
-    if text_col is None:
-        raise KeyError(f"No text column found in {df.columns}; expected one of {TEXT_ALIASES}")
-    if label_col is None:
-        raise KeyError(f"No label column found in {df.columns}; expected one of {LABEL_ALIASES}")
-
     def tag(lit_value: str | None, col_name: str | None, what: str) -> Column:
         if col_name is not None:
             return F.col(col_name).cast("string")
@@ -50,19 +52,16 @@ def normalize(
             raise ValueError(f"give either {what}= or {what}_col=")
         return F.lit(lit_value)
 
-    label = F.col(label_col).cast("bigint")
-    out = df.select(
+    text, label = resolve(df, "text", TEXT_ALIASES), resolve(df, "label", LABEL_ALIASES)
+    if null_labels == "fail":
+        label = F.when(label.isNull(), F.raise_error(F.lit("a label is NULL"))).otherwise(label)
+    return df.select(
         *[F.col(k) for k in keep],
-        F.col(text_col).cast("string").alias(TEXT),
-        label.alias(LABEL),
+        text.cast("string").alias(TEXT),
+        label.cast("bigint").alias(LABEL),
         tag(source, source_col, "source").alias(SOURCE),
         tag(register, register_col, "register").alias(REGISTER),
     )
-    if check_null_labels:
-        n_null = out.where(F.col(LABEL).isNull()).limit(1).count()
-        if n_null:
-            raise ValueError("label column contains NULL values")
-    return out
 
 
 def empty_corpus(spark: SparkSession) -> DataFrame:
@@ -83,41 +82,57 @@ def merge_corpora(
 ) -> DataFrame:
     """M1: UNION ALL of normalised frames with optional first-wins dedup on text.
 
-    ``frames`` is a list of ``(frame, order_columns)``; the frame position and
-    the order columns define "first" (pandas row order has no Spark
-    counterpart, so order is explicit).  Dedup is one hash aggregation keyed by
-    ``text`` taking ``min(struct(frame_ord, row_key..., payload))``: partial
-    aggregation collapses duplicates map-side, so a text repeated in a third of
-    all rows still leaves one row per task before the shuffle.
+    ``frames`` is a list of ``(frame, order_columns)``; the frame position and the
+    order columns (any number, any ordered type; compared one after the other) define
+    "first", as Spark rows have no order of their own.  Rows are grouped by 192 bits of
+    digests of the text, so the (sort-based) aggregation compares short keys, not texts.
+    Partial aggregation leaves one row per task of a text that fills a third of all rows.
 
-    Output: ``text, label, source, language_register, frame_ord, row_key,
-    row_sub`` (row_key/row_sub = first two order columns, 0 if absent).
+    Output: ``text, label, source, language_register, frame_ord, row_key, row_sub``
+    (row_key/row_sub = the first two order columns as bigint where they are numbers, else 0).
     """
     if not frames:
         if spark is None:
             raise ValueError("spark is required for an empty merge")
-        return empty_corpus(spark)
-
-    parts = []
-    for i, (df, order_cols) in enumerate(frames):
-        keys = list(order_cols) + [None] * (2 - len(order_cols))
-        parts.append(
-            df.select(
-                *[F.col(c) for c in CORPUS_COLUMNS],
-                F.lit(i + 1).cast("int").alias("frame_ord"),
-                (F.col(keys[0]) if keys[0] else F.lit(0)).cast("bigint").alias("row_key"),
-                (F.col(keys[1]) if keys[1] else F.lit(0)).cast("bigint").alias("row_sub"),
-            )
+        return empty_corpus(spark).withColumns({
+            "frame_ord": F.lit(1), "row_key": F.lit(0).cast("bigint"), "row_sub": F.lit(0).cast("bigint")})
+
+    width = max(len(order) for _, order in frames)
+    merged = None
+    for i, (df, order) in enumerate(frames):
+        keys = [*order, *[None] * (max(width, 2) - len(order))]
+        part = df.select(
+            *[F.col(c) for c in CORPUS_COLUMNS],
+            F.lit(i + 1).cast("int").alias("frame_ord"),
+            *[_as_long(df, k).alias(name) for k, name in zip(keys, ("row_key", "row_sub"))],
+            *[_sortable(df, k).alias(f"_o{j}") for j, k in enumerate(keys)],
         )
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+        merged = part if merged is None else merged.unionByName(part)
+    order = ["frame_ord", *[c for c in merged.columns if c.startswith("_o")]]
     if not deduplicate:
-        return merged
-    first = F.min(F.struct("frame_ord", "row_key", "row_sub", LABEL, SOURCE, REGISTER)).alias("f")
-    return merged.groupBy(TEXT).agg(first).select(
-        TEXT, "f.label", "f.source", "f.language_register", "f.frame_ord", "f.row_key", "f.row_sub"
-    )
+        return merged.drop(*order[1:])
+    rest = [c for c in merged.columns if c not in (TEXT, *order[1:])]
+    rows = merged.withColumn("_d", F.xxhash64(TEXT))
+    payload = F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in rest])
+    best = rows.groupBy("_d", F.md5(TEXT).alias("_m")).agg(F.min(payload).alias("f"), F.any_value(TEXT).alias(TEXT))
+    return best.select(TEXT, *[F.col(f"f._v_{c}").alias(c) for c in rest])
+
+
+def _as_long(df: DataFrame, name: str | None) -> Column:
+    number = name and isinstance(df.schema[name].dataType, NumericType)
+    return (F.col(name) if number else F.lit(0)).cast("bigint")
+
+
+def _sortable(df: DataFrame, name: str | None) -> Column:
+    """A string that sorts as the column does: numbers by sign and magnitude, others as they are
+    (timestamps and dates print in order)."""
+    if name is None:
+        return F.lit("")
+    c = F.col(name)
+    if not isinstance(df.schema[name].dataType, NumericType):
+        return F.coalesce(c.cast("string"), F.lit(""))
+    shifted = c.cast("decimal(38,9)") + F.lit(Decimal(10) ** 27)
+    return F.coalesce(F.lpad(shifted.cast("string"), 48, "0"), F.lit(""))
 
 
 def with_lengths(df: DataFrame, column: str = TEXT) -> DataFrame:

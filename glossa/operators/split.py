@@ -4,6 +4,8 @@ A row's place in its class is ``md5(seed:key)`` (then key); the first
 ``quota(class)`` rows are the test set.  Quotas: test total = ceil(share * N),
 spread over classes by largest remainder (ties by label).
 
+A NULL label is a class of its own.
+
 No window over a whole class: rows are counted per (class, hash-prefix bucket)
 (classes x 65,536 rows, bounded), cumulative counts locate the one boundary
 bucket per class, and only rows inside that bucket are ranked.
@@ -52,13 +54,13 @@ def stratified_split(
     # Class sizes come from the (class, bucket) histogram: no extra pass over the input.
     q = quotas_from_counts(hist.groupBy(label).agg(F.sum("_cnt").alias("n")), label, test_size)
     bounds = (
-        hist.join(q, label)
+        hist.withColumnRenamed(label, "_l").join(q, F.col("_l").eqNullSafe(F.col(label)))
         .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_cum")))
         .select(label, F.col("_b").alias("_bb"), (F.col("quota") - F.col("_before")).alias("_need"))
     )
-    # classes with quota 0 get no boundary: everything is train.
-    classes = q.select(label).join(bounds, label, "left")
-    tagged = base.join(F.broadcast(classes), label, "left")
+    # one row per class, left to the planner; classes with quota 0 have none: everything is train
+    edge_of = bounds.select(F.col(label).alias("_l"), "_bb", "_need")
+    tagged = base.join(edge_of, base[label].eqNullSafe(edge_of["_l"]), "left").drop("_l")
     bb = F.coalesce(F.col("_bb"), F.lit(-1))
     clear = tagged.where(F.col("_b") != bb).withColumn(
         split_col, F.when(F.col("_b") < bb, F.lit("test")).otherwise(F.lit("train"))
@@ -91,11 +93,10 @@ def with_probe(
 ) -> DataFrame:
     """T1+T2: ``eval_set`` in {'train','test','probe'}; probe rows never train.
 
-    Training rows whose exact text also occurs in the probe set are removed
-    (anti-join by text)."""
+    Training rows whose exact text also occurs in the probe set are removed, by an
+    anti-join on the text's digest and then the text."""
     probe = df.where(is_probe).withColumn("eval_set", F.lit("probe"))
-    pool = df.where(~is_probe)
-    split = stratified_split(pool, key, label, test_size, seed, "eval_set")
-    train = split.where(F.col("eval_set") == "train").join(probe.select(text).distinct(), text, "left_anti")
-    test = split.where(F.col("eval_set") == "test")
-    return train.unionByName(test).unionByName(probe)
+    split = stratified_split(df.where(~is_probe), key, label, test_size, seed, "eval_set")
+    held = probe.select(F.xxhash64(text).alias("_d"), F.col(text).alias("_held")).distinct()
+    seen = (F.xxhash64(split[text]) == held["_d"]) & (split[text] == held["_held"]) & (split["eval_set"] == "train")
+    return split.join(held, seen, "left_anti").unionByName(probe)

@@ -42,7 +42,7 @@ def register_breakdown(df: DataFrame, register: str = REGISTER, text: str = TEXT
     g = df.groupBy(register).agg(
         F.count(text).alias("n"), F.sum(label).cast("bigint").alias("n_positive")
     )
-    return g.withColumn("pct_positive", F.round(F.col("n_positive") * 100.0 / F.col("n"), 2))
+    return g.withColumn("pct_positive", F.round(F.try_divide(F.col("n_positive") * 100.0, F.col("n")), 2))
 
 
 def length_describe(df: DataFrame, by: str = LABEL, text: str = TEXT, approx: bool = False) -> DataFrame:
@@ -84,7 +84,8 @@ def length_histogram(df: DataFrame, by: str = LABEL, text: str = TEXT, bins: int
     bin = floor(bins*(x-min)/(max-min)) + 1, the maximum falls in the last bin.
     Columns: by, metric, bin, n, bin_start, bin_width, density.
     """
-    long = df.select(
+    # one pass over the texts: (class, metric, value, n) is bounded by the distinct lengths
+    values = df.select(
         F.col(by),
         F.explode(
             F.array(
@@ -92,19 +93,20 @@ def length_histogram(df: DataFrame, by: str = LABEL, text: str = TEXT, bins: int
                 F.struct(F.lit("n_chars").alias("metric"), char_count(text).alias("v")),
             )
         ).alias("m"),
-    ).select(by, "m.metric", "m.v")
-    rng = long.groupBy("metric").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    per_class = long.groupBy(by, "metric").agg(F.count(F.lit(1)).alias("n_class"))
+    ).select(by, "m.metric", "m.v").groupBy(by, "metric", "v").agg(F.count(F.lit(1)).alias("n"))
+    per_metric, per_class = Window.partitionBy("metric"), Window.partitionBy("metric", by)
     span = (F.col("hi") - F.col("lo"))
-    binned = long.join(F.broadcast(rng), "metric").withColumn(
+    counts = values.select(
+        by, "metric", "v", "n", F.min("v").over(per_metric).alias("lo"), F.max("v").over(per_metric).alias("hi"),
+        F.sum("n").over(per_class).alias("n_class"),
+    ).withColumn(
         "bin",
         F.when(span == 0, F.lit(1)).otherwise(
             F.least(F.floor((F.col("v") - F.col("lo")) * bins / span).cast("bigint") + 1, F.lit(bins))
         ).cast("bigint"),
-    )
-    counts = binned.groupBy(by, "metric", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    ).groupBy(by, "metric", "bin", "lo", "hi", "n_class").agg(F.sum("n").alias("n"))
     width = F.when(span == 0, F.lit(1.0)).otherwise(span / bins)
-    return counts.join(per_class, [by, "metric"]).select(
+    return counts.select(
         by, "metric", "bin", "n",
         (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_start"),
         width.alias("bin_width"),

@@ -21,12 +21,11 @@ from glossa.operators import models as MO
 from glossa.operators import split as SP
 from glossa.operators import stats as ST
 from glossa.operators import validate as V
-from glossa.operators.normalize import merge_corpora, normalize
+from glossa.operators.normalize import drop_null_text, merge_corpora, normalize
 from glossa.plans import data as D
 from glossa.plans import flagship as FL
-from glossa.session import read_table
+from glossa.session import materialized, read_table
 
-BASIC = {"html": "basic"}
 PREDS = {"model_a": "pred_a", "model_b": "pred_b"}
 
 
@@ -77,10 +76,12 @@ def merge_keep_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def null_text_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Drop NULL text, rename/select, filter positives, derive lengths."""
-    raw = D.documents(spark, sf).join(read_table(spark, sf, "labels"), "doc_id", "left")
-    df = raw.select("doc_id", F.col("text").alias("tweet"), F.col("quality").alias("sarcastic")) \
-        .na.drop(subset=["sarcastic"]).withColumnsRenamed({"tweet": "text", "sarcastic": "label"})
+    """Drop NULL text (that of one source is nulled here), rename/select, filter
+    positives, derive lengths."""
+    raw = D.documents(spark, sf).join(read_table(spark, sf, "labels"), "doc_id")
+    text = F.when(F.col("source") != D.PROBE_SOURCE, F.col("text"))
+    df = drop_null_text(raw.select("doc_id", text.alias("tweet"), F.col("quality").alias("sarcastic"))
+                        .withColumnsRenamed({"tweet": "text", "sarcastic": "label"}))
     pos = df.where(F.col("label") == 1)
     return pos.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
                       E.whitespace_token_count("text").alias("n_tokens"))
@@ -122,9 +123,15 @@ def clean_all(spark, sf):
 
 
 def clean_html_full(spark, sf):
-    """C1 full entity table (Arrow UDF); pages only carry named entities of the
-    basic table, so the oracle is the basic chain."""
-    return read_table(spark, sf, "pages").select("page_id", C.decode_html("html", "full").alias("cleaned"))
+    """C1 full entity table: entities outside the basic table are put in front of each page."""
+    page = F.concat(F.lit(D.RARE_ENTITIES[0]), F.col("html"))
+    return read_table(spark, sf, "pages").select("page_id", C.decode_html(page, "full").alias("cleaned"))
+
+
+def entity_terms(spark, sf):
+    """F1/F2 on texts with rare and numeric entities: terms come from the decoded text."""
+    docs = D.documents(spark, sf)
+    return FE.doc_terms(docs.select("doc_id", F.concat(F.lit(D.RARE_ENTITIES[0]), "text").alias("text")))
 
 
 # ----------------------------------------------------------------------------- V
@@ -147,6 +154,12 @@ def alignment_check(spark, sf):
     return V.check_alignment(D.documents(spark, sf), read_table(spark, sf, "labels"), "doc_id")
 
 
+def alignment_duplicates(spark, sf):
+    """V5 on a key that repeats on both sides (language): counts must agree, not only values."""
+    docs, lab = D.documents(spark, sf), D.labelled(spark, sf)
+    return V.check_alignment(docs.select(F.col("lang").alias("key")), lab.select(F.col("language_register").alias("key")), "key")
+
+
 # ----------------------------------------------------------------------------- A
 
 def class_balance(spark, sf):
@@ -177,7 +190,7 @@ def length_histogram(spark, sf):
 
 
 def length_coverage(spark, sf):
-    return _round(FE.length_coverage(D.documents(spark, sf), clean=BASIC))
+    return _round(FE.length_coverage(D.documents(spark, sf)))
 
 
 def token_counts(spark, sf):
@@ -199,11 +212,11 @@ def log_odds_bottom(spark, sf):
 # ----------------------------------------------------------------------------- F
 
 def ngram_terms(spark, sf):
-    return FE.doc_terms(D.documents(spark, sf), "doc_id", "text", (1, 2), BASIC)
+    return FE.doc_terms(D.documents(spark, sf), "doc_id", "text", (1, 2))
 
 
 def _vocab(df):
-    terms = FE.doc_terms(df.select("doc_id", "text"), "doc_id", "text", (1, 2), BASIC)
+    terms = FE.doc_terms(df.select("doc_id", "text"), "doc_id", "text", (1, 2))
     return terms, FE.vocabulary(terms, FE.count_docs(df), 2, 50_000)
 
 
@@ -212,9 +225,18 @@ def vocabulary_idf(spark, sf):
     return _round(v)
 
 
+def vocabulary_uncapped(spark, sf):
+    """F3 without ``max_features``: every term of two documents or more."""
+    docs = D.documents(spark, sf)
+    return _round(FE.vocabulary(FE.doc_terms(docs.select("doc_id", "text")), FE.count_docs(docs), 2, None))
+
+
 def tfidf_weights(spark, sf):
-    terms, v = _vocab(D.documents(spark, sf))
-    return _round(FE.tfidf(terms, v, "doc_id", 50_000))
+    docs = D.documents(spark, sf)
+    # the terms have two readers (vocabulary and weights): tokenise once
+    terms = materialized(FE.doc_terms(docs.select("doc_id", "text")), "terms")
+    v = materialized(FE.vocabulary(terms, FE.count_docs(docs), 2, 50_000), "vocabulary")
+    return _round(FE.tfidf(terms, v, "doc_id"))
 
 
 # ----------------------------------------------------------------------------- T
@@ -319,7 +341,8 @@ def accuracy_by_length(spark, sf):
 
 def _fixed_model(spark, sf):
     lab = D.labelled(spark, sf)
-    model, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), BASIC, 2, 50_000)
+    model, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), None, 2, 50_000)
+    model.params = materialized(model.params, "params")
     return lab, model
 
 
@@ -337,7 +360,7 @@ def decision(spark, sf):
 
 def linear_contributions(spark, sf):
     lab, m = _fixed_model(spark, sf)
-    terms = FE.doc_terms(lab.select("doc_id", "text"), "doc_id", "text", (1, 2), BASIC)
+    terms = FE.doc_terms(lab.select("doc_id", "text"), "doc_id", "text", (1, 2))
     return _round(MO.term_contributions(terms, m, "doc_id", 10))
 
 
@@ -355,10 +378,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_html_basic": clean_html_basic,
     "clean_html_full": clean_html_full,
     "clean_all": clean_all,
+    "entity_terms": entity_terms,
     "validate_rows": validate_rows,
     "validate_domain": validate_domain,
     "validate_payload": validate_payload,
     "alignment_check": alignment_check,
+    "alignment_duplicates": alignment_duplicates,
     "class_balance": class_balance,
     "source_label_crosstab": source_label_crosstab,
     "register_breakdown": register_breakdown,
@@ -371,6 +396,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_odds_bottom": log_odds_bottom,
     "ngram_terms": ngram_terms,
     "vocabulary_idf": vocabulary_idf,
+    "vocabulary_uncapped": vocabulary_uncapped,
     "tfidf_weights": tfidf_weights,
     "stratified_split": stratified_split,
     "class_weights": class_weights,
@@ -395,8 +421,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_lr_report": lambda spark, sf: _round(FL.train_lr_report(spark, sf)),
     "select_best_model": lambda spark, sf: _round(FL.select_best_model(spark, sf)),
     "embedding_lr_report": lambda spark, sf: _round(FL.embedding_lr_report(spark, sf)),
-    "batch_udf_score": lambda spark, sf: _round(FL.batch_udf_score(spark, sf)),
+    "batch_udf_score": lambda spark, sf: _round(
+        FL.batch_udf_score(spark, sf).select("vec_id", "label", "split", F.col("batched").alias("probability"))),
+    "batch_udf_agrees": FL.batch_udf_agrees,
+    "explain_decisions": lambda spark, sf: _round(FL.explain_decisions(spark, sf)),
     "explain_tokens": FL.explain_tokens,
     "stream_score": lambda spark, sf: _round(FL.stream_score(spark, sf)),
-    "stream_dedup": FL.stream_dedup,
+    "stream_dedup": lambda spark, sf: FL.stream_dedup(spark, sf).select("text"),
 }

@@ -17,6 +17,9 @@ from glossa.session import read_table
 # Fixed values of the synthetic-input queries.
 PROBE_SOURCE = "src0"
 SYNTH_PREFIX = "see https://x.io/"
+# Entities outside the basic table, and what they stand for.
+RARE_ENTITIES = ("caf&eacute; &#8217;tis na&iuml;ve &#x1F600; &Uuml;ber &hearts;ily &notit; ",
+                 "caf\u00e9 \u2019tis na\u00efve \U0001F600 \u00dcber \u2665ily \u00acit; ")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.config import settings
 from glossa.operators import evaluate as EV
 from glossa.operators import models as MO
 from glossa.operators import split as SP
 from glossa.operators.normalize import merge_corpora, normalize
 from glossa.plans import data as D
-from glossa.session import cut_lineage, read_table
+from glossa.session import cut_lineage, materialized, read_table
 
 
 def prepared_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +24,7 @@ def prepared_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select(F.col("row_key").alias("doc_id"), "text", "label", "source", "language_register")
 
 
-def train_and_score(spark: SparkSession, sf: str, max_iter: int = 100):
+def train_and_score(spark: SparkSession, sf: str, max_iter: int = settings.max_iter):
     corpus = prepared_corpus(spark, sf)
     split = cut_lineage(SP.stratified_split(corpus, "doc_id", "label", 0.2, 42))
     train = split.where(F.col("split") == "train")
@@ -60,13 +61,13 @@ def select_best_model(spark: SparkSession, sf: str) -> DataFrame:
     train = tv.where(F.col("part") == "train")
     val = tv.where(F.col("part") == "test")
     fs = MO.fit_features(train, "doc_id", "text")
+    tr_vec = cut_lineage(MO.vectorize(train, fs, "doc_id", "text", carry=["label"]).withColumn(
+        "label_d", F.col("label").cast("double")))
     cands = {}
     for C in (0.1, 1.0, 10.0):
-        model, _ = MO.fit_lr(train, "doc_id", "text", "label", C=C, fs=fs, max_iter=100)
+        model, _ = MO.fit_lr(train, "doc_id", "text", "label", C=C, fs=fs, vectors=tr_vec)
         s = MO.score(val, model, "doc_id", "text", carry=["label"])
         cands[f"lr_C{C:g}"] = s.withColumn("pred", MO.predict_class("probability"))
-    tr_vec = cut_lineage(MO.vectorize(train, fs, "doc_id", "text", carry=["label"]).withColumn(
-        "label_d", F.col("label").cast("double")))
     va_vec = MO.vectorize(val, fs, "doc_id", "text", carry=["label"])
     for fam in ("naive_bayes", "linear_svc"):
         m = MO.fit_other(tr_vec, fam)
@@ -89,7 +90,8 @@ def _embedding_model(spark: SparkSession, sf: str):
     data = _embedding_data(spark, sf)
     split = SP.stratified_split(data, "vec_id", "label", 0.2, 42)
     train = split.where(F.col("split") == "train").withColumn("label_d", F.col("label").cast("double"))
-    ml = LogisticRegression(featuresCol="features", labelCol="label_d", regParam=0.01, maxIter=100).fit(train)
+    ml = LogisticRegression(featuresCol="features", labelCol="label_d", regParam=0.01,
+                            maxIter=settings.max_iter).fit(train)
     return ml, split
 
 
@@ -108,34 +110,46 @@ def batch_udf_score(spark: SparkSession, sf: str) -> DataFrame:
     ml, split = _embedding_model(spark, sf)
     fn = MO.batch_scorer(MO.logistic_factory(ml.coefficients.toArray().tolist(), ml.intercept),
                          batch_size=32, input_tensor_shapes=[[64]])
-    data = split.select("vec_id", "label", "split", F.col("embedding").cast("array<double>").alias("x"))
-    return data.select("vec_id", "label", "split", fn("x").alias("probability"))
+    data = split.select("vec_id", "label", "split", "features", F.col("embedding").cast("array<double>").alias("x"))
+    return ml.transform(data.withColumn("batched", fn("x")))
+
+
+def batch_udf_agrees(spark: SparkSession, sf: str) -> DataFrame:
+    """P5 checked: the batched scorer gives the fitted model's own probability on every row."""
+    from pyspark.ml.functions import vector_to_array
+
+    own = vector_to_array("probability")[1]
+    return batch_udf_score(spark, sf).select("vec_id", "label", "split", (F.abs(F.col("batched") - own) < 1e-9).alias("agrees"))
 
 
 def explain_tokens(spark: SparkSession, sf: str, num_samples: int = 200) -> DataFrame:
-    """Explanations of the held-out documents under the fixed-weight model."""
+    """Explanations of all labelled documents under the fixed-weight model."""
     from glossa.operators import explain as X
 
-    lab = D.labelled(spark, sf)
-    model, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), {"html": "basic"}, 2, 50_000)
-    split = SP.stratified_split(lab.select("doc_id", "label"), "doc_id", "label", 0.2, 42)
-    test = lab.join(split.where(F.col("split") == "test").select("doc_id"), "doc_id")
-    return X.explain(test.select("doc_id", "text"), model, "doc_id", "text", num_samples, 10)
+    model = _fixed_model_materialised(spark, sf)
+    return X.explain(D.labelled(spark, sf).select("doc_id", "text"), model, "doc_id", "text", num_samples, 10)
 
 
-def _fixed_model_materialised(spark: SparkSession, sf: str) -> MO.LinearTextModel:
-    from glossa.session import cut_lineage
+def explain_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """L5 fields that SQL can derive: the intact sample's probability and decision."""
+    out = explain_tokens(spark, sf, num_samples=20)
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "probability", "decision", "threshold",
+                      "model_version")
 
+
+def _fixed_model_materialised(spark: SparkSession, sf: str) -> MO.LinearTextModel:
     lab = D.labelled(spark, sf)
-    m, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), {"html": "basic"}, 2, 50_000)
-    m.params = cut_lineage(m.params)
+    m, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), None, 2, 50_000)
+    m.params = materialized(m.params, "params")
     m.intercept = float(m.intercept.first()["intercept"])
     return m
 
 
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as a file stream, validated and scored per micro-batch."""
+    """Documents as a file stream, validated and scored per micro-batch.  Every document
+    comes back: scored, or with the reason why it was set aside."""
     from glossa.session import scratch_path
+    from glossa.streaming.jobs import read_batches
     from glossa.streaming.jobs import stream_score as run
 
     model = _fixed_model_materialised(spark, sf)
@@ -145,7 +159,11 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     out, bad, ck = scratch_path(spark, "scored"), scratch_path(spark, "quarantine"), scratch_path(spark, "ck")
     q = run(spark, src, model, out, bad, ck)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    scored = read_batches(spark, out, "doc_id long, probability double, decision string, threshold double, model_version string")
+    aside = read_batches(spark, bad, "doc_id long, reason string")
+    return scored.select("doc_id", F.lit("scored").alias("status"), "probability", "decision").unionByName(
+        aside.select("doc_id", F.col("reason").alias("status"), F.lit(None).cast("double").alias("probability"),
+                     F.lit(None).cast("string").alias("decision")))
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +173,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     schema = D.documents(spark, sf).select("doc_id", "text", "lang").schema
     src = spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet").withColumn(
-        "event_time", F.timestamp_seconds("doc_id"))
+        "event_time", F.timestamp_seconds(F.col("doc_id") + 1))  # a row at the epoch would be late for the first watermark
     out, ck = scratch_path(spark, "dedup"), scratch_path(spark, "ck")
     q = run(src, out, ck, "event_time", "365 days")
     q.awaitTermination()

@@ -21,7 +21,7 @@ from glossa.functions.clean import (
     WHITESPACE_PATTERN,
 )
 from glossa.functions.text import EDA_WORD_PATTERN, TERM_PATTERN
-from glossa.plans.data import PROBE_SOURCE, SYNTH_PREFIX
+from glossa.plans.data import PROBE_SOURCE, RARE_ENTITIES, SYNTH_PREFIX
 
 
 def q(s: str) -> str:
@@ -222,7 +222,7 @@ def oracle_sql() -> dict[str, str]:
     s["normalize_aliases"] = """SELECT d.doc_id, d.text AS text, CAST(l.toxic AS BIGINT) AS label,
   'aliases' AS source, 'en' AS language_register FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
     s["null_text_filter"] = f"""SELECT d.doc_id, CAST(length(d.text) AS BIGINT) AS n_chars, {ws_tokens('d.text')} AS n_tokens
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1"""
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 AND d.source <> {q(PROBE_SOURCE)}"""
     union = """WITH u AS (
   SELECT d.text, CAST(l.quality AS BIGINT) AS label, 'labelled' AS source, d.lang AS language_register,
          1 AS frame_ord, CAST(d.doc_id AS BIGINT) AS row_key, CAST(0 AS BIGINT) AS row_sub
@@ -240,7 +240,9 @@ SELECT text, label, source, language_register, frame_ord, row_key, row_sub FROM
                          f"(SELECT doc_id, string_split(text, '') AS _c FROM synth)")
     s["clean_space"] = f"SELECT doc_id, {space('text')} AS cleaned FROM documents"
     s["clean_html_basic"] = f"SELECT page_id, {html_basic('html')} AS cleaned FROM pages"
-    s["clean_html_full"] = s["clean_html_basic"]
+    s["clean_html_full"] = f"SELECT page_id, {q(RARE_ENTITIES[1])} || {html_basic('html')} AS cleaned FROM pages"
+    decoded = f"(SELECT doc_id, {q(RARE_ENTITIES[1])} || text AS text FROM documents)"
+    s["entity_terms"] = f"SELECT doc_id, term, tf FROM {doc_terms_sql(decoded)}"
     s["clean_all"] = f"WITH {SYNTH} SELECT doc_id, cleaned FROM {clean_rows('synth', 'doc_id', 'text')}"
     s["validate_rows"] = f"WITH {CURATION} SELECT doc_id, {VIOLATION} AS violation FROM cur"
     s["validate_domain"] = f"""WITH {CURATION}
@@ -249,9 +251,14 @@ UNION SELECT DISTINCT 'register', register FROM cur WHERE register IS NULL OR re
     s["validate_payload"] = f"""SELECT doc_id, n_chars, CASE WHEN text IS NULL THEN 'missing'
   WHEN length(text) < 1 THEN 'too_short' WHEN length(text) > 4000 THEN 'too_long'
   WHEN NOT regexp_matches(text, {q(NON_SPACE_PATTERN)}) THEN 'blank' END AS reason FROM documents"""
-    s["alignment_check"] = """SELECT n_left_only, n_right_only, (n_left_only = 0 AND n_right_only = 0) AS aligned FROM
-  (SELECT count(*) AS n_left_only FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
-  (SELECT count(*) AS n_right_only FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id))"""
+    aligned = """SELECT CAST(coalesce(sum(greatest(nl - nr, 0)), 0) AS BIGINT) AS n_left_only,
+  CAST(coalesce(sum(greatest(nr - nl, 0)), 0) AS BIGINT) AS n_right_only, coalesce(bool_and(nl = nr), true) AS aligned
+  FROM (SELECT k, sum(l) AS nl, sum(r) AS nr FROM ({}) GROUP BY k)"""
+    s["alignment_check"] = aligned.format(
+        "SELECT doc_id AS k, 1 AS l, 0 AS r FROM documents UNION ALL SELECT doc_id, 0, 1 FROM labels")
+    s["alignment_duplicates"] = aligned.format(
+        "SELECT lang AS k, 1 AS l, 0 AS r FROM documents UNION ALL "
+        "SELECT d.lang, 0, 1 FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
     s["class_balance"] = f"""WITH {LABELLED} SELECT label, count(*) AS n,
   round(CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER (), 2) AS pct FROM labelled GROUP BY label"""
     s["source_label_crosstab"] = f"""WITH {LABELLED} SELECT source, count_if(label = 0) AS label_0,
@@ -300,6 +307,7 @@ SELECT CAST(L.max_length AS BIGINT) AS max_length, (SELECT count(*) FROM n) AS n
     s["ngram_terms"] = f"SELECT doc_id, term, tf FROM {doc_terms_sql('documents')}"
     s["vocabulary_idf"] = (f"WITH t AS {doc_terms_sql('documents')}, v AS {vocab_sql('t', 'documents')} "
                            f"SELECT term, df, tf_total, {r6('idf')} AS idf, index FROM v")
+    s["vocabulary_uncapped"] = s["vocabulary_idf"].replace("LIMIT 50000", "")
     s["tfidf_weights"] = f"""WITH t AS {doc_terms_sql('documents')}, v AS {vocab_sql('t', 'documents')},
   w AS (SELECT t.doc_id, t.term, v.index, (1 + ln(t.tf)) * v.idf AS w FROM t JOIN v ON t.term = v.term)
 SELECT doc_id, term, index, {r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM w"""
@@ -361,4 +369,20 @@ SELECT bin_ord, ['1-5','6-10','11-15','16-20','21-30','31-50','50+'][bin_ord] AS
     s["linear_contributions"] = f"""WITH {FIXED_MODEL}, c AS (SELECT doc_id, term, w * coef / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS contribution FROM wts),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC, term) AS BIGINT) AS rank FROM c)
 SELECT doc_id, rank, term, {r6('contribution')} AS contribution FROM r WHERE rank <= 10"""
+    s["stream_dedup"] = "SELECT DISTINCT text FROM documents WHERE text IS NOT NULL"
+    every = FIXED_MODEL + f""",
+dterms AS {doc_terms_sql('documents')},
+dw AS (SELECT t.doc_id, (1 + ln(t.tf)) * p.idf AS w, p.coef FROM dterms t JOIN params p ON t.term = p.term),
+dagg AS (SELECT doc_id, sum(w * coef) AS dot, sum(w * w) AS ss FROM dw GROUP BY doc_id),
+dprob AS (SELECT d.doc_id, d.text, 1.0 / (1.0 + exp(-((CASE WHEN coalesce(a.ss, 0) > 0 THEN a.dot / sqrt(a.ss) ELSE 0.0 END) + icpt.b))) AS probability
+          FROM documents d LEFT JOIN dagg a ON d.doc_id = a.doc_id, icpt),
+st AS (SELECT *, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THEN 'too_short' WHEN length(text) > 4000 THEN 'too_long'
+  WHEN NOT regexp_matches(text, {q(NON_SPACE_PATTERN)}) THEN 'blank' ELSE 'scored' END AS status FROM dprob)"""
+    s["stream_score"] = f"""WITH {every} SELECT doc_id, status, CASE WHEN status = 'scored' THEN {r6('probability')} END AS probability,
+  CASE WHEN status <> 'scored' THEN NULL WHEN probability >= 0.5 THEN 'SARCASTIC' ELSE 'NOT_SARCASTIC' END AS decision FROM st"""
+    s["explain_decisions"] = f"""WITH {FIXED_MODEL} SELECT p.doc_id, CAST(length(l.text) AS BIGINT) AS n_chars, {r6('probability')} AS probability,
+  CASE WHEN probability >= 0.5 THEN 'SARCASTIC' ELSE 'NOT_SARCASTIC' END AS decision, 0.5::DOUBLE AS threshold,
+  'v0.1.0' AS model_version FROM prob p JOIN labelled l ON p.doc_id = l.doc_id"""
+    s["batch_udf_agrees"] = f"""WITH src AS (SELECT vec_id AS doc_id, CAST(label >= 5 AS BIGINT) AS label FROM embeddings)
+SELECT doc_id AS vec_id, label, split, true AS agrees FROM {split_sql('src')}"""
     return s

@@ -7,7 +7,9 @@ session; a private directory is configured only when it is unset (tests).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,14 +46,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediates.
 
-    Uses the session's ``spark.checkpoint.dir``; only when that is unset (local
-    tests) a private temporary directory is configured.
+    Uses the session's ``spark.checkpoint.dir``, else the directory its context was
+    given; only a local master without either gets a private one, which goes with the
+    process.
     """
-    root = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getConf().get(_CKPT_KEY, None)
+    sc = spark.sparkContext
+    root = spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="glossa-ckpt-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(_CKPT_KEY, root)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
@@ -63,6 +69,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/glossa/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again: computed once, with a size that
+    the planner knows (it broadcasts small tables by that, not by a promise)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

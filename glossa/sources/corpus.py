@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators.normalize import empty_corpus, normalize
 from glossa.operators.validate import check_columns, check_domain, row_violation
 from glossa.schemas import CURATION, CURATION_COLUMNS
+from glossa.session import materialized
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,7 +28,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_corpus(spark: SparkSession, path: str, source: str, register: str, keep: Sequence[str] = ()) -> DataFrame:
     """Parquet corpus -> normalised corpus; missing path raises."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"corpus parquet not found at {path}. Materialise it first.")
+        raise FileNotFoundError(f"no corpus table at {path}")
     return normalize(spark.read.parquet(path), source=source, register=register, keep=keep)
 
 
@@ -58,7 +60,7 @@ def read_curated_lenient(
 def read_curated_strict(spark: SparkSession, path: str) -> DataFrame:
     """Curated CSV with schema and domain validation; missing file raises."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"curated supplement not found at {path}")
+        raise FileNotFoundError(f"no curated table at {path}")
     raw = _read_csv(spark, path)
     check_columns(raw, CURATION_COLUMNS, path)
     df = raw.select(F.col("text"), F.col("label").cast("bigint").alias("label"), "register", "rationale")
@@ -69,35 +71,40 @@ def read_curated_strict(spark: SparkSession, path: str) -> DataFrame:
 def append_labels(df: DataFrame, path: str) -> int:
     """Append validated curation rows to a CSV folder (header per file).
 
-    Validation runs first over the whole batch; any violation raises and
-    nothing is written.  Returns the number of rows appended."""
+    The batch is computed once, validated as a whole and appended as validated; any
+    violation raises and nothing is written.  Returns the number of rows appended."""
     check_columns(df, CURATION_COLUMNS)
-    bad = df.where(row_violation().isNotNull()).limit(1).count()
-    if bad:
-        raise ValueError("batch contains invalid curation rows; nothing written")
-    out = df.select(*[F.col(f.name).cast(f.dataType) for f in CURATION.fields])
+    out = materialized(df.select(*[F.col(f.name).cast(f.dataType) for f in CURATION.fields]), "append")
+    checked = out.agg(F.count(F.lit(1)).alias("n"), F.count(row_violation()).alias("bad")).head()
+    if checked["bad"]:
+        raise ValueError(f"{checked['bad']} of {checked['n']} rows break the curation rules; nothing was appended")
     out.write.mode("append").option("header", True).option("escape", '"').csv(path)
-    return out.count()
+    return checked["n"]
 
 
 def first_usable(
     spark: SparkSession, candidates: Sequence[str], required: Sequence[str] = ("tweet", "sarcastic"),
-    fmt: str = "csv",
+    fmts: Sequence[str] = ("csv", "json"),
 ) -> tuple[DataFrame, str]:
-    """First readable candidate with the required columns, NULL text
-    dropped, renamed and cast to (text, label); returns (frame, path)."""
+    """First candidate that reads to its end, in the first format in which it does, with the
+    required columns; NULL text dropped, renamed and cast to (text, label).
+
+    The rows are written once, so a broken body shows here and not later.  Returns
+    (frame, path)."""
+    text, label = required
+    tried = []
     for p in candidates:
-        try:
-            df = _read_csv(spark, p) if fmt == "csv" else spark.read.format(fmt).load(p)
-        except Exception:  # noqa: BLE001 - unreadable candidates are skipped
-            continue
-        if not set(required) <= set(df.columns):
-            continue
-        t, lab = required
-        out = df.na.drop(subset=[t]).select(
-            F.col(t).cast("string").alias("text"), F.col(lab).cast("bigint").alias("label"))
-        return out, p
-    raise RuntimeError(f"no usable corpus among {list(candidates)}")
+        for fmt in fmts:
+            try:
+                df = _read_csv(spark, p) if fmt == "csv" else spark.read.format(fmt).load(p)
+                if not set(required) <= set(df.columns):
+                    raise ValueError(f"columns {df.columns}")
+                rows = df.na.drop(subset=[text]).select(
+                    F.col(text).cast("string").alias("text"), F.col(label).cast("bigint").alias("label"))
+                return materialized(rows, "usable"), p
+            except (PySparkException, ValueError) as e:
+                tried.append(f"{p} as {fmt}: {str(e)[:80]}")
+    raise RuntimeError("no usable corpus: " + "; ".join(tried))
 
 
 def materialize(df: DataFrame, path: str, force: bool = False) -> str:
@@ -111,6 +118,6 @@ def read_predictions(spark: SparkSession, paths: dict[str, str]) -> dict[str, Da
     out = {}
     for name, p in paths.items():
         if not path_exists(spark, p):
-            raise FileNotFoundError(f"Missing {p}. Score the model first.")
+            raise FileNotFoundError(f"no predictions of {name} at {p}")
         out[name] = spark.read.parquet(p)
     return out

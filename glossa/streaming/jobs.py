@@ -1,8 +1,9 @@
 """Streaming scoring and streaming first-arrival dedup.
 
 Both run as ordinary Structured Streaming queries with a checkpoint in the
-shared checkpoint folder, so a restarted query resumes exactly-once; tests use
-a finite file source with ``trigger(availableNow=True)``.
+shared checkpoint folder.  A micro-batch that is run again after a failure writes
+to the folder of its own batch id again, in place of what it wrote before, so each
+row is scored once; tests use a finite file source with ``trigger(availableNow=True)``.
 """
 
 from __future__ import annotations
@@ -12,19 +13,28 @@ from pyspark.sql import functions as F
 
 from glossa.operators import models as MO
 from glossa.operators.validate import payload_reason
+from glossa.session import materialized
+from glossa.sources.corpus import path_exists
 
 
 def score_batch(batch: DataFrame, model: MO.LinearTextModel, out_path: str, quarantine_path: str,
-                key: str = "doc_id", text: str = "text") -> None:
+                key: str = "doc_id", text: str = "text", epoch: int = 0) -> None:
     """R1 micro-batch body: V4 checks, score valid rows, quarantine the rest.
 
-    The same code scores a static table."""
-    tagged = batch.withColumn("reason", payload_reason(text))
+    The same code scores a static table.  The source is read once."""
+    tagged = materialized(batch.select(key, text, payload_reason(text).alias("reason")), "batch")
     valid = tagged.where(F.col("reason").isNull()).select(key, text)
     bad = tagged.where(F.col("reason").isNotNull()).select(key, "reason")
     scored = MO.with_decision(MO.score(valid, model, key, text), model)
-    scored.write.mode("append").parquet(out_path)
-    bad.write.mode("append").parquet(quarantine_path)
+    scored.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
+    bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={epoch}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows that the batches have written (none: an empty frame)."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
 def stream_score(
@@ -34,7 +44,7 @@ def stream_score(
 ):
     """``readStream`` source -> foreachBatch(score_batch) -> parquet sinks."""
     w = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda b, _epoch: score_batch(b, model, out_path, quarantine_path, key, text))
+        lambda b, epoch: score_batch(b, model, out_path, quarantine_path, key, text, epoch))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
@@ -43,12 +53,14 @@ def stream_dedup(
     source: DataFrame, out_path: str, checkpoint: str, event_time: str, delay: str = "1 hour",
     text: str = "text", available_now: bool = True,
 ):
-    """R2: first arrival of each exact text wins, state bounded by the watermark.
+    """R2: first arrival of each exact text wins, state bounded by the watermark.  The state
+    holds two digests of a text (192 bits), not the text.
 
     A duplicate arriving later than the watermark (event time + delay) is no
     longer recognised and passes through; rows later than the watermark
     itself are dropped by the engine."""
-    dedup = source.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([text])
+    marked = source.withColumns({"_d": F.xxhash64(text), "_m": F.md5(text)})
+    dedup = marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_d", "_m"]).drop("_d", "_m")
     w = dedup.writeStream.format("parquet").option("path", out_path).option(
         "checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from glossa.operators.normalize import empty_corpus, merge_corpora, normalize
@@ -20,8 +21,8 @@ def test_missing_text_column_raises(spark):
 
 def test_null_label_check(spark):
     df = spark.createDataFrame([("a", None)], "text string, label int")
-    with pytest.raises(ValueError):
-        normalize(df, source="a", register="x", check_null_labels=True)
+    with pytest.raises(PySparkException, match="a label is NULL"):
+        normalize(df, source="a", register="x").collect()
 
 
 def test_first_frame_wins(spark):
