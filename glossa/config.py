@@ -38,6 +38,9 @@ class Settings:
             raise ValueError("min_df must be >= 1")
         if self.max_features is not None and self.max_features < 1:
             raise ValueError("max_features must be positive or None")
+        for name, least in (("max_iter", 1), ("explain_samples", 2), ("explain_features", 1)):
+            if getattr(self, name) < least:
+                raise ValueError(f"{name} must be at least {least}")
         if self.C <= 0:
             raise ValueError("C must be positive")
 

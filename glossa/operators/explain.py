@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from glossa.config import settings
 from glossa.operators import features as FE
 from glossa.operators import models as MO
+from glossa.operators.scorers import LinearScorer, Scorer
 from glossa.schemas import TOKEN_WEIGHT
 
 # Surrogate parameters (kernel width, ridge penalty).
@@ -75,16 +76,22 @@ def _surrogate_fn(key: str, num_features: int):
 
 
 def explain(
-    df: DataFrame, model: MO.LinearTextModel, key: str = "doc_id", text: str = "text",
+    df: DataFrame, model: MO.LinearTextModel | Scorer, key: str = "doc_id", text: str = "text",
     num_samples: int = settings.explain_samples, num_features: int = settings.explain_features,
     seed: int = settings.random_seed,
 ) -> DataFrame:
     """``key, text, probability, decision, threshold, tokens, model_version``.
 
-    ``tokens`` is array<struct<token, weight>> sorted by |weight| descending."""
-    pert = perturbations(df, key, text, num_samples, seed, model.clean)
-    scored = MO.score(pert.select(key, "sample", "kept_tokens"), model, [key, "sample"],
-                      tokens_col="kept_tokens")
+    ``tokens`` is array<struct<token, weight>> sorted by |weight| descending.  Any scorer
+    can be explained; one that is not linear gets the kept words joined by spaces."""
+    scorer = LinearScorer(model) if isinstance(model, MO.LinearTextModel) else model
+    clean = scorer.model.clean if isinstance(scorer, LinearScorer) else None
+    pert = perturbations(df, key, text, num_samples, seed, clean)
+    if isinstance(scorer, LinearScorer):
+        scored = scorer.score_tokens(pert.select(key, "sample", "kept_tokens"), "kept_tokens", [key, "sample"])
+    else:
+        kept = pert.select(key, "sample", F.array_join("kept_tokens", " ").alias("_kept"))
+        scored = scorer.score(kept, "_kept", [key, "sample"])
     joined = pert.select(key, "sample", "words", "mask").join(scored, [key, "sample"])
     key_type = df.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("token", T.StringType()),
@@ -96,5 +103,5 @@ def explain(
     intact = scored.where(F.col("sample") == 0).select(key, "probability")
     res = df.select(key, text).join(intact, key).join(tokens, key, "left").withColumn(
         "tokens", F.coalesce("tokens", F.array().cast(T.ArrayType(TOKEN_WEIGHT))))
-    return MO.with_decision(res, model).select(key, text, "probability", "decision", "threshold",
+    return MO.with_decision(res, scorer).select(key, text, "probability", "decision", "threshold",
                                                "tokens", "model_version")

@@ -57,7 +57,7 @@ def select_best_model(spark: SparkSession, sf: str) -> DataFrame:
     corpus = prepared_corpus(spark, sf)
     split = SP.stratified_split(corpus, "doc_id", "label", 0.2, 42)
     train_all = split.where(F.col("split") == "train").drop("split")
-    tv = cut_lineage(SP.stratified_split(train_all, "doc_id", "label", 0.15, 42, "part"))
+    tv = cut_lineage(SP.stratified_split(train_all, "doc_id", "label", settings.val_size, settings.random_seed, "part"))
     train = tv.where(F.col("part") == "train")
     val = tv.where(F.col("part") == "test")
     fs = MO.fit_features(train, "doc_id", "text")
