@@ -1,0 +1,57 @@
+"""DuckDB SQL for the queries of this subpackage that SQL can express (the license scan's is
+beside its rules)."""
+
+from __future__ import annotations
+
+from glossa.llm import license_scan
+from glossa.llm.license_scan import LOWER, UPPER
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NONSPACE = r"[^\x20\x09-\x0D]+"
+FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({FOLDED}, '{ALNUM}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({FOLDED}, '{ALNUM}') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS k
+        FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+       FROM (SELECT * FROM d, sizes WHERE len(w) >= n), unnest(range(1, len(w) - n + 2)) AS t(i)),
+hit AS (SELECT r, i, n, item FROM dw JOIN win USING (n, k)),
+cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN cov USING (r) LEFT JOIN ids USING (r)"""
+
+JACCARD = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({FOLDED}, '{NONSPACE}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i)
+      WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+both_ AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM both_ JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT r, r AS m FROM d UNION SELECT reach.r, edge.y FROM reach JOIN edge ON edge.x = reach.m)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT reach.r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = reach.m
+                                   GROUP BY reach.r) c USING (r)"""
+
+PASSAGES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{NONSPACE}') AS w FROM documents),
+win AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k
+        FROM (SELECT * FROM d WHERE len(w) >= 50), unnest(range(1, len(w) - 48)) AS t(i)),
+seen AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM win JOIN seen USING (k) WHERE f < doc_id)),
+word AS (SELECT r, i AS p, w[i] AS t FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+kept AS (SELECT r, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+ORACLE = {
+    "op1_decontamination": DECONTAMINATION,
+    "op2_license_scan": license_scan.oracle(),
+    "op6_ngram_join": JACCARD,
+    "op7_recompression": PASSAGES,
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import chunk_prints, decontamination, language_id, license_scan, ngram_join, packing, recompression, suffix_dedup, token_counts, toxicity
+from glossa.llm.oracle import ORACLE
 from glossa.session import read_table
 
 
@@ -81,4 +82,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {"op2_license_scan": license_scan.oracle()}
+__all__ = ["ORACLE", "QUERIES", "tokenizer_path"]
