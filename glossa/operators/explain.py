@@ -92,12 +92,14 @@ def explain(
     else:
         kept = pert.select(key, "sample", F.array_join("kept_tokens", " ").alias("_kept"))
         scored = scorer.score(kept, "_kept", [key, "sample"])
-    joined = pert.select(key, "sample", "words", "mask").join(scored, [key, "sample"])
+    # the words travel once, with the intact sample; the others carry their masks only
+    words = F.when(F.col("sample") == 0, F.col("words")).alias("words")
+    joined = pert.where(F.size("words") > 0).select(key, "sample", words, "mask").join(scored, [key, "sample"])
     key_type = df.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("token", T.StringType()),
                                T.StructField("weight", T.DoubleType())])
     # a text without tokens has nothing to weigh: the left join below gives it an empty list
-    weights = joined.where(F.size("words") > 0).groupBy(key).applyInPandas(_surrogate_fn(key, num_features), out_schema)
+    weights = joined.groupBy(key).applyInPandas(_surrogate_fn(key, num_features), out_schema)
     tokens = weights.groupBy(key).agg(
         MO.sort_token_weights(F.collect_list(F.struct("token", "weight").cast(TOKEN_WEIGHT))).alias("tokens"))
     intact = scored.where(F.col("sample") == 0).select(key, "probability")

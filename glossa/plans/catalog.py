@@ -24,6 +24,7 @@ from glossa.operators import validate as V
 from glossa.operators.normalize import drop_null_text, merge_corpora, normalize
 from glossa.plans import data as D
 from glossa.plans import flagship as FL
+from glossa.plans.storage import QUERIES as STORAGE
 from glossa.session import materialized, read_table
 
 PREDS = {"model_a": "pred_a", "model_b": "pred_b"}
@@ -428,4 +429,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explain_tokens": FL.explain_tokens,
     "stream_score": lambda spark, sf: _round(FL.stream_score(spark, sf)),
     "stream_dedup": lambda spark, sf: FL.stream_dedup(spark, sf).select("text"),
+    **{name: (lambda q: lambda spark, sf: _round(q(spark, sf)))(q) for name, q in STORAGE.items()},
 }

@@ -385,4 +385,16 @@ st AS (SELECT *, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THE
   'v0.1.0' AS model_version FROM prob p JOIN labelled l ON p.doc_id = l.doc_id"""
     s["batch_udf_agrees"] = f"""WITH src AS (SELECT vec_id AS doc_id, CAST(label >= 5 AS BIGINT) AS label FROM embeddings)
 SELECT doc_id AS vec_id, label, split, true AS agrees FROM {split_sql('src')}"""
+    s["corpus_round_trip"] = """SELECT d.doc_id, d.text, CAST(l.toxic AS BIGINT) AS label, 'stored' AS source,
+  'en' AS language_register FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+    valid = f"WITH {CURATION}, valid AS (SELECT * FROM cur WHERE ({VIOLATION}) IS NULL)"
+    s["curated_round_trip"] = f"{valid} SELECT text, label, register, rationale FROM valid"
+    s["curated_lenient"] = f"{valid} SELECT text, label, 'curated' AS source, register AS language_register FROM valid"
+    s["usable_candidate"] = f"WITH {LABELLED} SELECT text, label FROM labelled WHERE source <> {q(PROBE_SOURCE)}"
+    s["stored_predictions"] = s["prediction_join"]
+    s["saved_model_score"] = s["linear_score"]
+    s["train_checks"] = f"""WITH {LABELLED}, src AS (SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM labelled) WHERE rn = 1),
+  sp AS {split_sql('src')}
+SELECT count_if(split = 'test') AS n_test, count_if(split = 'test' AND label = 0) AS n_negative,
+  count_if(split = 'test' AND label = 1) AS n_positive, true AS same_score, count_if(split = 'train') AS n_train, true AS converged FROM sp"""
     return s

@@ -78,7 +78,8 @@ def append_labels(df: DataFrame, path: str) -> int:
     checked = out.agg(F.count(F.lit(1)).alias("n"), F.count(row_violation()).alias("bad")).head()
     if checked["bad"]:
         raise ValueError(f"{checked['bad']} of {checked['n']} rows break the curation rules; nothing was appended")
-    out.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    (out.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     return checked["n"]
 
 
