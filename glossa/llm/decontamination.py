@@ -33,8 +33,7 @@ from glossa.llm import kernels as K
 from glossa.session import cut_lineage
 
 WINDOW, GRAM = 13, 6
-BLOCK_WORDS = 2_000_000
-MAX_BLOCK_BYTES = 64 << 20
+BLOCK_WORDS = 500_000  # some 150 MB of windows in a worker
 
 
 def _folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

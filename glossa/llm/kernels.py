@@ -65,11 +65,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1,
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finishing step that spreads every input bit over the 64 bits."""
-    h = h ^ (h >> U(30))
+    shifted = h >> U(30)
+    h = h ^ shifted
     h *= U(0xBF58476D1CE4E5B9)
-    h ^= h >> U(27)
+    np.right_shift(h, U(27), out=shifted)
+    h ^= shifted
     h *= U(0x94D049BB133111EB)
-    h ^= h >> U(31)
+    np.right_shift(h, U(31), out=shifted)
+    h ^= shifted
     return h
 
 
@@ -97,12 +100,20 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
 
 
 def gram_hashes(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hash of ``values[i:i + width]`` for every i that has one."""
+    """Hash of ``values[i:i + width]`` for every i that has one (not that of ``span_hashes``)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
-    at = np.arange(n)
-    return span_hashes(values, at, at + width, seed)
+    up, down = _powers(len(values), seed)
+    sums = np.empty(len(values) + 1, dtype=U)
+    sums[0] = 0
+    terms = values.astype(U)
+    terms += U(1)
+    terms *= up[:len(values)]
+    np.cumsum(terms, out=sums[1:])
+    h = sums[width:] - sums[:n]
+    h *= down[:n]
+    return mix(h)
 
 
 def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

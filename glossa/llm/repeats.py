@@ -32,7 +32,7 @@ from glossa.session import scratch_path
 
 PLACE = np.dtype([("k", "<i8"), ("s", "<i8"), ("base", "<i4"), ("lo", "<i4"), ("n", "<i4")])
 NO_KEY = -(1 << 63)
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: texts -> key, hull, row, first window start, number of starts; hulls only if asked for
 Kernel = Callable[[pa.Array, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
