@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm import kernels as K
 
-PER_LANGUAGE = 10_000
+PER_LANGUAGE = 3_000
 MIN_COUNT = 2
 ORDERS = (5, 4, 3, 2, 1)
 EDGE = 0  # code point that marks a word's edges
