@@ -10,8 +10,9 @@ Inside a window, symbols that could reach across its edge are unsafe; the others
 depend on the window's words alone, so equal windows hold the same safe symbols at
 the same places.  Each window is represented by the smallest-named safe symbol of
 the highest round that has one (in round 0 every word is safe).  Spark groups the
-windows by this shared symbol; text between is compared by its hash, and where a
-symbol has several surroundings, window by window.
+windows by this shared symbol and compares the text around it by its hash.  Where a
+symbol has several surroundings, it is extended to a stretch of four fifths of the
+window, and what is still open is compared window by window.
 
 A word goes when a window of ``window`` words covers it whose words also start in a
 document with a smaller key; windows are judged on the input.  Null has no words.
@@ -146,6 +147,36 @@ def _kernel(window: int, rounds: int | None) -> R.Kernel:
     return kernel
 
 
+def _stretches(window: int, reach: int) -> R.Kernel:
+    """Bundles by a long stretch: of the windows' stretches of ``reach`` words the smallest-named.
+    A window whose stretch holds a word of its own is alone under it and leaves."""
+
+    def kernel(texts: pa.Array, full: bool):
+        data, at = K.flat(texts)
+        s, e, rows = K.words(data, at, K.NONSPACE)
+        row = K.row_of(rows)
+        none = np.zeros(0, np.int64)
+        p = np.flatnonzero(row[:max(0, len(s) - window + 1)] == row[window - 1:]) if len(s) >= window else none
+        if not len(p):
+            return none, none, none, none, none
+        words = K.span_hashes(data, s, e)
+        grams = K.gram_hashes(words, reach)
+        begin = K.sliding_first_min(grams, window - reach + 1)[p]
+        new = np.ones(len(p), bool)
+        new[1:] = (begin[1:] != begin[:-1]) | (p[1:] != p[:-1] + 1)
+        head = np.flatnonzero(new)
+        lo, size = p[head], np.diff(np.append(head, len(p)))
+        key = grams[begin[head]]
+        hull = K.span_hashes(words, lo, lo + size - 1 + window, seed=1) if full else key
+        return key, hull, row[lo], lo - rows[row[lo]], size
+
+    return kernel
+
+
+def _passes(window: int, rounds: int) -> list[R.Kernel]:
+    return [_kernel(window, rounds), _stretches(window, max(1, window * 4 // 5)), _kernel(window, None)]
+
+
 def _cutter(window: int):
     def cut(texts: pa.Array, row: np.ndarray, lo: np.ndarray, end: np.ndarray) -> list[str]:
         data, at = K.flat(texts)
@@ -183,8 +214,7 @@ def _spanned(docs: DataFrame, key: str, text: str, window: int, rounds: int) ->
     packed = docs.select(F.col(key).alias(key), F.col(text).alias(text),
                          F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(0).alias("none")]).alias("rest"))
     texts = R.identified(packed, key, text, "rest")
-    spans = R.found_spans(texts, [_kernel(window, rounds), _kernel(window, None)], _cutter(window), "string",
-                          True, "recompression")
+    spans = R.found_spans(texts, _passes(window, rounds), _cutter(window), "string", True, "recompression", store=True)
     joined = texts.join(spans, ["k", "s"], "left").select(R.key_back(F.col("k")).alias("k"), "rest", "body", "spans")
     return joined, others
 

@@ -31,6 +31,7 @@ from glossa.llm import kernels as K
 from glossa.session import scratch_path
 
 PLACE = np.dtype([("k", "<i8"), ("s", "<i8"), ("base", "<i4"), ("lo", "<i4"), ("n", "<i4")])
+COUNTED = ["key", "m", "first", "last"]
 NO_KEY = -(1 << 63)
 SLICE = 1 << 18
 #: texts -> key, hull, row, first window start, number of starts; hulls only if asked for
@@ -81,18 +82,17 @@ def _rows(texts: DataFrame, kernel: Kernel, full: bool) -> DataFrame:
             at = np.append(np.flatnonzero(new), len(key))
             head = at[:-1]
             cols = [K.as_long(key[head]), pa.array(np.diff(at).astype(np.int32)), pa.array(k[head]), pa.array(k[at[1:] - 1])]
-            names = ["key", "m", "first", "last"]
+            names = COUNTED
             if full:
                 places = np.empty(len(key), PLACE)
                 places["k"], places["s"], places["base"] = k, s[order], base[order]
                 places["lo"], places["n"] = (lo + base)[order], n[order]
                 packed = pa.Array.from_buffers(pa.binary(), len(head), [
                     None, pa.py_buffer((at * PLACE.itemsize).astype(np.int32)), pa.py_buffer(places.tobytes())])
-                cols = [cols[0], K.as_long(hull[head]), cols[1], cols[2], packed]
-                names = ["key", "hull", "m", "first", "places"]
+                cols, names = [*cols, K.as_long(hull[head]), packed], [*COUNTED, "hull", "places"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "key long, hull long, m int, first long, places binary" if full else "key long, m int, first long, last long"
+    schema = "key long, m int, first long, last long" + ", hull long, places binary" * full
     return texts.select("k", "s", "base", "body").mapInArrow(run, schema)
 
 
@@ -102,16 +102,19 @@ def _unpack(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(data.tobytes(), PLACE), K.row_of(at // PLACE.itemsize)
 
 
-def level(texts: DataFrame, kernel: Kernel, earlier: bool) -> DataFrame:
+def level(texts: DataFrame, kernel: Kernel, earlier: bool, store: str | None = None) -> DataFrame:
     """(k, s, base, lo, n, found): bundles all of whose windows occur again (``found``), and those
     that stand for their hulls where a key is still open.
 
     ``earlier``: only occurrences in a text with a smaller k count; else any other place does.
+    The rows are needed twice: a kernel that costs more than its rows take on disk runs
+    once and its rows are kept (``store``), a cheap one runs again.
     """
-    shared = (_rows(texts, kernel, False).groupBy("key")
+    kept = settled(_rows(texts, kernel, True), store) if store else None
+    shared = ((kept.select(*COUNTED) if store else _rows(texts, kernel, False)).groupBy("key")
               .agg(F.sum("m").alias("n"), F.min("first").alias("f"), F.max("last").alias("l"))
               .where("f < l" if earlier else "n > 1").select("key"))
-    rows = _rows(texts, kernel, True).join(shared, "key")
+    rows = (kept if store else _rows(texts, kernel, True)).join(shared, "key").drop("last")
     hulls = rows.groupBy("key", "hull").agg(F.sum("m").alias("nh"), F.min("first").alias("fh"))
     open_keys = hulls.groupBy("key").agg(F.count("*").alias("hulls")).where("hulls > 1").select("key", F.lit(True).alias("open"))
     marked = hulls.join(open_keys, "key", "left").where("open or nh > 1")
@@ -167,11 +170,12 @@ def zoomed(texts: DataFrame, places: DataFrame, cut: Callable[[pa.Array, np.ndar
         run, f"k long, s long, base int, body {kind}")
 
 
-def found_spans(texts: DataFrame, kernels: list[Kernel], cut: Callable, kind: str, earlier: bool, name: str) -> DataFrame:
+def found_spans(texts: DataFrame, kernels: list[Kernel], cut: Callable, kind: str, earlier: bool, name: str,
+                store: bool = False) -> DataFrame:
     """(k, s, spans array<struct<lo, n>>): per text the window starts that occur again."""
     spark, parts = texts.sparkSession, []
     for i, kernel in enumerate(kernels):
-        out = settled(level(texts, kernel, earlier), f"{name}-level{i}")
+        out = settled(level(texts, kernel, earlier, f"{name}-rows{i}" if store else None), f"{name}-level{i}")
         release(spark)
         parts.append(out.where("found").select("k", "s", "lo", "n"))
         if i + 1 < len(kernels):
