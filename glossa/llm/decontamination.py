@@ -142,11 +142,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     parts = [one(items) for items in _blocks(benchmark, item, item_text, block_words)]
     if len(parts) == 1:
         return parts[0].drop("row")
+    # each block is its own job over the same scan, so ``row`` names the same document row in all
+    parts = [cut_lineage(part) for part in parts]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    # the same scan order in every block, so ``row`` names the same document row
-    spans = cut_lineage(union).groupBy("row").agg(
+    spans = union.groupBy("row").agg(
         F.first(key).alias(key), F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("first", "last")))).alias("s"))
