@@ -8,6 +8,7 @@ match covers whole words and neighbouring matches do not share a space.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 # Phrases that every scan reports, with their labels.
@@ -89,7 +90,7 @@ SINGLE = (
     ("proprietary", 3, "proprietary", "proprietary [and] [confidential]"),
 )
 NOTICE = "licen[sc]ed|released|distributed|available|published|provided under [the] [terms] [of] [the]"
-#: A doc without any of these, in any case, holds no signature.
+#: The gate of the SQL oracle, which lacks the words of the Creative Commons rules; the scan uses ``triggers``.
 TRIGGERS = ("licen", "rights reserved", "reserved", "cc", "gpl", "copyright", "copyleft", "domain", "hereby",
             "warranty", "proprietary", "clause")
 
@@ -157,3 +158,19 @@ def rules() -> list[Rule]:
             for i, (phrase, label) in enumerate(BASE)]
     rest = sorted(found, key=lambda r: r[1])  # stable: strongest first, otherwise as written
     return base + [Rule(len(base) + i, *r) for i, r in enumerate(rest)]
+
+
+def required(pattern: str) -> list[str]:
+    """The literal beginnings of the words that every match of ``pattern`` holds."""
+    return [re.match("[a-z0-9]*", item)[0] for item in pattern.split(" ") if not item.startswith("[") and "|" not in item]
+
+
+def triggers() -> list[str]:
+    """Strings one of which stands, in any case, in every text that a rule matches: "licen" where
+    each match holds it, else the last required word that is a keyword of the rule."""
+    found = set()
+    for r in rules():
+        words = required(r.pattern)
+        named = [w for w in words if w in r.keyword.split("|")]
+        found.add("licen" if any("licen" in w for w in words) else named[-1])
+    return sorted(t for t in found if not any(o in t for o in found - {t}))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.license_rules import TRIGGERS, compiled, rules
+from glossa.llm.license_rules import TRIGGERS, compiled, rules, triggers
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,7 +37,7 @@ def normalised(text: Column) -> Column:
 def triggered(text: Column) -> Column:
     low = F.lower(text)
     out = F.lit(False)
-    for t in TRIGGERS:
+    for t in triggers():
         out = out | F.contains(low, F.lit(t))
     return out
 

@@ -7,7 +7,7 @@ import zlib
 import pytest
 
 from glossa.llm import chunk_prints, decontamination, kernels, license_scan, packing, token_counts
-from glossa.llm.license_rules import rules
+from glossa.llm.license_rules import required, rules, triggers
 from glossa.llm.queries import tokenizer_path
 
 from llm_helpers import CLASH, build, by_row
@@ -103,6 +103,42 @@ def test_license_scan_values(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+CREATIVE = [
+    (1, "This work is under Creative Commons Attribution-ShareAlike 4.0 International."), (2, "creative-commons attribution"),
+    (3, "Creative\nCommons Attribution NonCommercial No Derivatives 3.0 Unported"), (4, "creative writing of the commons"),
+]
+
+
+def ungated(monkeypatch):
+    """The oracle with every rule tried on every text."""
+    monkeypatch.setattr(license_scan, "TRIGGERS", ("",))
+    return license_scan.oracle()
+
+
+def against_ungated(spark, texts, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(texts, columns=["doc_id", "text"]).astype({"text": "object"}))
+    got = license_scan.license_scan(build(spark, texts)).collect()
+    rel = con.sql(ungated(monkeypatch))
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted((tuple(r[c] for c in rel.columns) for r in got), key=key) == sorted(rel.fetchall(), key=key)
+    return {r["doc_id"]: r for r in got}
+
+
+def test_license_scan_finds_creative_commons(spark, edge_texts, monkeypatch):
+    got = against_ungated(spark, CREATIVE + [(1000 + d, t) for d, t in LICENSES + edge_texts], monkeypatch)
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["cc-by-sa-4.0", "cc-by", "cc-by-nc-nd-3.0", ""]
+    assert got[1]["score"] > 0
+
+
+def test_every_rule_holds_a_trigger():
+    for r in rules():
+        assert any(t in w for t in triggers() for w in required(r.pattern)), r
+
+
 def test_license_scan_stays_native_and_large(spark, empty):
     plan = license_scan.license_scan(build(spark, LICENSES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
