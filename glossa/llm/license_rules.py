@@ -20,7 +20,8 @@ FAMILIES = (
     ("mit", ("mit licen[sc]e", "expat licen[sc]e", "mit x11 licen[sc]e"), "licen", ()),
     ("x11", ("x11 licen[sc]e",), "x11", ()),
     ("bsd", ("bsd licen[sc]e", "bsd style licen[sc]e"), "bsd", ()),
-    ("bsd-2-clause", ("bsd 2 clause [simplified] [licen[sc]e]", "simplified bsd licen[sc]e", "freebsd licen[sc]e"), "bsd", ()),
+    ("bsd-2-clause", ("bsd 2 clause [simplified] [licen[sc]e]", "simplified bsd licen[sc]e", "freebsd licen[sc]e"),
+     "bsd|freebsd", ()),
     ("bsd-3-clause", ("bsd 3 clause [licen[sc]e]", "new bsd licen[sc]e", "modified bsd licen[sc]e"), "bsd", ()),
     ("bsd-4-clause", ("bsd 4 clause [licen[sc]e]", "original bsd licen[sc]e"), "bsd", ()),
     ("gpl", ("gnu general public licen[sc]e", "gnu gpl", "gpl"), "gnu|gpl", ("1", "2", "3", "2 0", "3 0")),

@@ -134,6 +134,17 @@ def test_license_scan_finds_creative_commons(spark, edge_texts, monkeypatch):
     assert got[1]["score"] > 0
 
 
+def test_license_scan_finds_freebsd(spark, monkeypatch):
+    got = against_ungated(spark, [(1, "Under the FreeBSD License"), (2, "freebsd license of bsd"), (3, "freebsd")], monkeypatch)
+    assert [got[i]["labels"] for i in (1, 2, 3)] == ["bsd-2-clause", "bsd-2-clause", ""]
+
+
+def test_every_rule_passes_its_own_gate():
+    for r in rules():
+        words = required(r.pattern)
+        assert any(k in words or k == "licen" and any(w.startswith(k) for w in words) for k in r.keyword.split("|")), r
+
+
 def test_every_rule_holds_a_trigger():
     for r in rules():
         assert any(t in w for t in triggers() for w in required(r.pattern)), r
