@@ -152,6 +152,45 @@ def test_ngram_join_follows_chains(chained):
     assert_rows(texts, brute_components(texts), by_row(ngram_join.jaccard_components(docs)), ("n_shingles", "component_id"))
 
 
+def spied(monkeypatch, name, keys, of):
+    """Sizes of the groups by ``keys`` of what ``ngram_join.name`` is given (of=0) or gives (of=1)."""
+    real, sizes = getattr(ngram_join, name), []
+
+    def run(*args):
+        out = real(*args)
+        sizes.extend(r["count"] for r in (out if of else args[0]).groupBy(*keys).count().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, name, run)
+    return sizes
+
+
+def test_template_with_own_words_makes_no_block(spark, monkeypatch):
+    """Four fifths are shared and a fifth is the text's own: such texts do not link."""
+    rng = random.Random(13)
+    template = prose(rng, 80, 10_000)
+    texts = [(i, template + " " + prose(rng, 20, 10_000)) for i in range(60)]
+    sizes = spied(monkeypatch, "_all_pairs", ["token"], 0)
+    found = by_row(ngram_join.jaccard_components(build(spark, texts)))
+    assert_rows(texts, brute_components(texts), found, ("n_shingles", "component_id"))
+    assert max(sizes, default=0) < 10
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_large_blocks_are_dealt_in_chunks(spark, monkeypatch, rounds):
+    """A template with one of eight common endings and few or many own words, beside bare templates."""
+    rng = random.Random(17)
+    template, endings = prose(rng, 60, 10_000), [prose(rng, 30, 10_000) for _ in range(8)]
+    texts = [(i, f"{template} {endings[i % 8]} {prose(rng, rng.choice([0, 3, 8, 16, 25]), 10_000)}") for i in range(150)]
+    texts += [(200 + i, template + " " + prose(rng, 1 + i, 10_000)) for i in range(20)]
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "CHUNK", 20)
+    blocks, groups = spied(monkeypatch, "_all_pairs", ["token"], 0), spied(monkeypatch, "_members", ["token", "band", "x", "y"], 1)
+    found = by_row(ngram_join.jaccard_components(build(spark, texts)))
+    assert_rows(texts, brute_components(texts), found, ("n_shingles", "component_id"))
+    assert max(blocks) > 100 and 16 < max(groups) < 80
+
+
 def test_ngram_join_without_pivots(chained, monkeypatch):
     """The R-tree alone finds every pair, and shingles in any order do."""
     texts, docs = chained
