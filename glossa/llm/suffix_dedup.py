@@ -1,11 +1,11 @@
-"""Substring dedup by a depth-limited radix sort of suffixes.
-
-All suffixes of all texts (as UTF-8 bytes) would be sorted, only through their
-first ``threshold`` bytes.  They are put in order by most-significant-digit passes
-over ever deeper prefixes; a suffix that is alone in its group after a pass is
-unique and leaves.  Suffixes that start next to each other and share the digit
-(a gram that every window of theirs holds, chosen by content: the leftmost
-smallest gram hash) pass as one bundle, so a pass moves one row for many suffixes.
+"""Substring dedup by bundles of windows, in place of a depth-limited radix sort of suffixes.
+
+The windows are the first ``threshold`` bytes of all suffixes of all texts (as UTF-8
+bytes).  They are grouped, not put in order, in passes by ever longer grams: a window's
+key is a gram inside it, chosen by content (the leftmost smallest gram hash), and one
+alone under its key is unique and leaves.  Neighbouring windows with the same gram pass
+as one bundle, so a pass moves one row for many, where a sort by the suffix's own first
+bytes would move one for each.
 After the last pass, at the threshold, groups are exactly the repeated windows.
 
 Every byte covered by a window that starts anywhere else too goes, all copies
