@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from glossa.llm import license_scan
 from glossa.llm.license_scan import LOWER, UPPER
+from glossa.llm.spelling import CRC_TABLE
 
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NONSPACE = r"[^\x20\x09-\x0D]+"
@@ -49,9 +50,67 @@ kept AS (SELECT r, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS t FROM word A
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
   sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
+LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT r, i, w[i] AS t, translate(regexp_replace(regexp_replace(w[i], '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
+                                        '{UPPER}', '{LOWER}') AS k FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+often AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+kept AS (SELECT r, count(*) AS n, string_agg(t, chr(10) ORDER BY i) AS t FROM l ANTI JOIN often USING (k) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_lines, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_dropped,
+  sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+_CRC_BYTES = ("flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] "
+              "ELSE [195, ord(c) - 64] END))")
+SPELLING = f"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS w
+                     FROM documents),
+u AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS s, w, count(*) AS c FROM t WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, c, xor(4294967295, list_reduce({_CRC_BYTES}::BIGINT[],
+        lambda a, b: xor(a >> 8, ({CRC_TABLE.tolist()}::BIGINT[])[(xor(a, b) & 255) + 1]), 4294967295::BIGINT)) AS h FROM u),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, c FROM h),
+v AS MATERIALIZED (SELECT w, sum(c)::BIGINT AS n FROM x WHERE length(w) >= 7 GROUP BY w HAVING sum(c) >= 2),
+gap AS MATERIALIZED (SELECT DISTINCT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS k FROM v, unnest(range(1, length(w) + 1)) AS t(i)),
+near AS (SELECT a.w, b.w AS o FROM gap a JOIN gap b ON a.i = b.i AND a.k = b.k AND a.w <> b.w
+         UNION SELECT gap.w, v.w FROM gap JOIN v ON gap.k = v.w UNION SELECT v.w, gap.w FROM gap JOIN v ON gap.k = v.w),
+best AS (SELECT near.w, o, v.n, count(*) OVER (PARTITION BY near.w) AS n_near,
+                row_number() OVER (PARTITION BY near.w ORDER BY v.n DESC, o) AS place FROM near JOIN v ON v.w = o),
+f AS MATERIALIZED (SELECT v.w AS word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 10 * v.n THEN o END AS form,
+             CASE WHEN best.n >= 10 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON best.w = v.w AND place = 1),
+way AS (SELECT word, word AS root FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL),
+root AS (SELECT way.word, way.root FROM way JOIN f ON f.word = way.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+
+
+def _clustering(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    distance = "list_sum(list_transform(range(1, {d} + 1), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))".format(d=dims)
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': {distance}::BIGINT, 'c': c.c}}) AS m FROM v, c{i} c GROUP BY r)")
+        if i < rounds:
+            steps.append(
+                f"s{i} AS (SELECT m.c AS c, j, sum(q[j])::BIGINT AS s, count(*)::BIGINT AS n FROM a{i} JOIN v USING (r), "
+                f"unnest(range(1, {dims} + 1)) AS t(j) GROUP BY ALL), "
+                f"n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS q FROM s{i} GROUP BY c), "
+                f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(n{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN n{i} USING (c))")
+    return f"""
+WITH raw AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+v AS MATERIALIZED (SELECT r, vec_id, list_transform(x, lambda y: floor(greatest(least(y * 1024, {1 << 27}), -{1 << 27}))::BIGINT) AS q FROM raw
+      WHERE len(x) = {dims} AND len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = {dims}),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, q) - 1)::INTEGER AS c, q FROM
+      (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, q FROM v ORDER BY h, q LIMIT {k})),
+{", ".join(steps)},
+last AS (SELECT vec_id, m.c AS cluster, m.d AS distance FROM a{rounds} JOIN v USING (r))
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} c ON c.c = cluster"""
+
+
 ORACLE = {
     "op1_decontamination": DECONTAMINATION,
     "op2_license_scan": license_scan.oracle(),
     "op6_ngram_join": JACCARD,
     "op7_recompression": PASSAGES,
+    "op11_spelling_variants": SPELLING,
+    "op12_line_dedup": LINES,
+    "op13_centroid_clustering": _clustering(),
 }

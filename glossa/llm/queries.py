@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import chunk_prints, decontamination, language_id, license_scan, ngram_join, packing, recompression, suffix_dedup, token_counts, toxicity
+from glossa.llm import (centroids, chunk_prints, decontamination, language_id, license_scan, line_dedup, ngram_join, packing,
+                        recompression, spelling, suffix_dedup, token_counts, toxicity)
 from glossa.llm.oracle import ORACLE
 from glossa.session import read_table
 
@@ -70,6 +71,19 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(read_table(spark, sf, "documents"), thin=31))
+
+
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.without_frequent_lines(read_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster_report(centroids.fit(read_table(spark, sf, "embeddings")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -81,5 +95,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 __all__ = ["ORACLE", "QUERIES", "tokenizer_path"]
