@@ -18,6 +18,7 @@ regex (and for RE2, used by the SQL oracle):
 from __future__ import annotations
 
 import html as _html
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,33 +128,27 @@ def collapse_whitespace(col: Column | str) -> Column:
     return F.trim(F.regexp_replace(_c(col), WHITESPACE_PATTERN, " "))
 
 
-def clean_col(
-    col: Column | str,
-    *,
-    decode_html_entities: bool = True,
-    replace_url: bool = True,
-    replace_mention: bool = True,
-    strip_hashtag_hash: bool = True,
-    collapse_repeat: bool = True,
-    collapse_space: bool = True,
-    html: str = "full",
-    null_as: str | None = None,
-) -> Column:
-    """The full cleaning chain as one Column; each step is opt-out."""
-    c = coerce_text(col, null_as)
-    if decode_html_entities:
-        c = decode_html(c, html)
-    if replace_url:
-        c = replace_urls(c)
-    if replace_mention:
-        c = replace_mentions(c)
-    if strip_hashtag_hash:
-        c = strip_hashtags(c)
-    if collapse_repeat:
-        c = collapse_repeats(c)
-    if collapse_space:
-        c = collapse_whitespace(c)
-    return c
+#: The steps of ``clean_col`` by name, in the order that they must have.
+STEPS = {
+    "entities": decode_html,
+    "urls": replace_urls,
+    "mentions": replace_mentions,
+    "hashtags": strip_hashtags,
+    "repeats": collapse_repeats,
+    "spaces": collapse_whitespace,
+}
+
+
+def clean_col(col: Column | str, *, skip: Iterable[str] = (), html: str = "full", null_as: str | None = None) -> Column:
+    """The cleaning chain as one Column, without the ``STEPS`` named in ``skip``."""
+    left_out = set(skip)
+    if unknown := left_out - STEPS.keys():
+        raise ValueError(f"unknown cleaning steps: {sorted(unknown)}")
+    options = {"entities": (html,)}
+    text = coerce_text(col, null_as)
+    for name in (n for n in STEPS if n not in left_out):
+        text = STEPS[name](text, *options.get(name, ()))
+    return text
 
 
 def clean_df(df: DataFrame, column: str = "text", output: str | None = None, **flags) -> DataFrame:

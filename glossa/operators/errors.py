@@ -25,9 +25,8 @@ def join_predictions(base: DataFrame, others: Sequence[DataFrame], key: str | Se
     """Inner equi-join of per-model prediction tables on ``key``.
 
     Each ``other`` contributes its non-key columns (``pred_<m>``, ``prob_<m>``).
-    Joining on a unique row key keeps the join 1:1; joining on ``text`` (as the
-    reference does) multiplies duplicated texts quadratically, so it is not
-    the default.
+    Joining on a unique row key keeps the join 1:1; joining on the text multiplies
+    repeated texts (``join_predictions_on_text``).
     """
     keys = [key] if isinstance(key, str) else list(key)
     out = base
@@ -36,6 +35,32 @@ def join_predictions(base: DataFrame, others: Sequence[DataFrame], key: str | Se
     return out
 
 
+#: Output rows that one compact row of a join on texts yields in one task.
+EXPAND = 1 << 16
+
+
+def join_predictions_on_text(base: DataFrame, others: Sequence[DataFrame], text: str = "text") -> DataFrame:
+    """J1 on ``text``: rows multiply as in an SQL inner join (NULL texts do not join).
+
+    Texts meet by digest (192 bits).  Equal rows of a side become one row with its number before
+    they are shuffled, so a text that fills a third of a table is one row per distinct prediction
+    from every task; numbers multiply in the join, and rows come apart only at the end, dealt out
+    in runs of ``EXPAND``."""
+    def counted(df: DataFrame, n: str, *carried) -> DataFrame:
+        values = [c for c in df.columns if c != text]
+        marked = df.where(F.col(text).isNotNull()).withColumns({"_d": F.xxhash64(text), "_m": F.md5(text)})
+        return marked.groupBy("_d", "_m", *values).agg(F.count(F.lit(1)).alias(n), *carried)
+
+    out = counted(base, "_n", F.any_value(text).alias(text))
+    for other in others:
+        out = out.join(counted(other, "_k"), ["_d", "_m"]).withColumn("_n", F.col("_n") * F.col("_k")).drop("_k")
+    runs = F.sequence(F.lit(0).cast("bigint"), (F.col("_n") - 1).cast("bigint"), F.lit(EXPAND).cast("bigint"))
+    dealt = out.withColumn("_from", F.explode(runs)).repartition("_d", "_m", "_from")
+    each = F.sequence(F.lit(1).cast("bigint"), F.least(F.col("_n") - F.col("_from"), F.lit(EXPAND)).cast("bigint"))
+    columns = [text] + [c for df in (base, *others) for c in df.columns if c != text]
+    return dealt.withColumn("_each", F.explode(each)).select(*columns)
+
+
 def confident_mistakes(
     df: DataFrame, pred: str, prob: str, kind: str, k: int = 10, y: str = "label",
     cols: Sequence[str] = ("doc_id", "text", "language_register"), tie: str = "doc_id",

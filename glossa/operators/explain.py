@@ -5,8 +5,9 @@ For each document: ``num_samples`` word-removal perturbations (sample 0 is
 the intact text), each scored by the same relational scorer as production,
 weighted by an exponential kernel on the cosine distance of the kept-word mask
 to the intact text, and fitted with a weighted ridge surrogate per document
-(``applyInPandas``; the group is one document's samples, bounded by
-``num_samples`` x its distinct words).  Masks are drawn from
+(``applyInPandas``; the group is one document's samples).  Masks travel as bits, 64 words
+to a long; the surrogate is solved in the space of the samples, whose inner products are
+popcounts, and masks are unpacked ``BLOCK`` words at a time.  Masks are drawn from
 ``xxhash64(doc, sample, word, seed)``, so they do not depend on partitioning.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,7 @@ from glossa.schemas import TOKEN_WEIGHT
 # Surrogate parameters (kernel width, ridge penalty).
 KERNEL_WIDTH = 25.0
 RIDGE_ALPHA = 1.0
+BLOCK = 4096  # words whose masks are unpacked at a time, a multiple of 64
 
 
 def perturbations(
@@ -49,26 +51,58 @@ def perturbations(
     return s.select(key, "sample", "words", "kept_tokens", "mask")
 
 
+def packed(mask: str) -> Column:
+    """A boolean array as longs of 64 flags, the first flag in the lowest bit."""
+    m = F.col(mask)
+    runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(m) - 1) / 64), F.lit(0)).cast("int"))
+    flags = lambda j: F.transform(F.slice(m, j * 64 + 1, 64), lambda b, i: F.when(b, F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    return F.transform(runs, lambda j: F.aggregate(flags(j), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x)))
+
+
+def _unpacked(bits: np.ndarray, words: int) -> np.ndarray:
+    """(samples, words) flags of packed rows."""
+    flags = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1, bitorder="little")
+    return flags[:, :words].astype(np.float64)
+
+
+def surrogate(bits: np.ndarray, words: int, y: np.ndarray) -> np.ndarray:
+    """Weights of the words in a weighted ridge fit of ``y`` on the masks ``bits`` (samples x longs).
+
+    The dual form needs the samples' inner products, and each word's weight is a sum over samples;
+    so nothing of size samples x words is held."""
+    n, step = len(y), BLOCK // 64
+    bits = np.ascontiguousarray(bits).view(np.uint64)  # a count of bits takes signed numbers by their magnitude
+    blocks = [(i, bits[:, i:i + step]) for i in range(0, bits.shape[1], step)]
+    inner = np.zeros((n, n))
+    for _, part in blocks:
+        for row in range(n):
+            inner[row] += np.bitwise_count(part & part[row]).sum(axis=1, dtype=np.int64)
+    dist = (1.0 - np.sqrt(np.diag(inner) / words)) * 100.0
+    sw = np.sqrt(np.exp(-(dist ** 2) / KERNEL_WIDTH ** 2))
+    total, root = sw.sum(), np.sqrt(sw)
+    # the weighted mean mask is sw @ X / total, so its products follow from the samples' own
+    with_mean = inner @ sw / total
+    centred = inner - with_mean[:, None] - with_mean[None, :] + sw @ with_mean / total
+    gram = centred * root[:, None] * root[None, :] + RIDGE_ALPHA * np.eye(n)
+    alpha = root * np.linalg.solve(gram, (y - sw @ y / total) * root)
+    out = np.empty(words)
+    for i, part in blocks:
+        at = slice(i * 64, min(words, (i + step) * 64))
+        X = _unpacked(part, at.stop - at.start)
+        out[at] = alpha @ X - alpha.sum() * (sw @ X / total)
+    return out
+
+
 def _surrogate_fn(key: str, num_features: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
         words = list(pdf["words"].iloc[0])
-        X = np.array([np.asarray(m, dtype=np.float64) for m in pdf["mask"]]).reshape(len(pdf), len(words))
-        y = pdf["probability"].to_numpy(dtype=np.float64)
-        d = len(words)
-        kept = X.sum(axis=1)
-        dist = (1.0 - np.sqrt(kept / d)) * 100.0
-        sw = np.sqrt(np.exp(-(dist ** 2) / KERNEL_WIDTH ** 2))
-        # weighted ridge with intercept, in dual form (samples << words is typical)
-        wsum = sw.sum()
-        xm = (sw[:, None] * X).sum(axis=0) / wsum
-        ym = (sw * y).sum() / wsum
-        r = np.sqrt(sw)
-        Xc = (X - xm) * r[:, None]
-        yc = (y - ym) * r
-        G = Xc @ Xc.T + RIDGE_ALPHA * np.eye(len(y))
-        coef = Xc.T @ np.linalg.solve(G, yc)
-        order = np.lexsort((np.array(words, dtype=object).astype(str), -np.abs(coef)))[:num_features]
+        bits = np.stack([np.asarray(m, dtype=np.int64) for m in pdf["mask"]])
+        coef = surrogate(bits, len(words), pdf["probability"].to_numpy(dtype=np.float64))
+        largest = np.argpartition(-np.abs(coef), min(num_features, len(words)) - 1)[:num_features]
+        near = np.flatnonzero(np.abs(coef) >= np.abs(coef[largest]).min())  # with all ties of the last
+        order = sorted(near.tolist(), key=lambda i: (-abs(coef[i]), words[i]))[:num_features]
         return pd.DataFrame({key: pdf[key].iloc[0], "token": [words[i] for i in order],
                              "weight": [float(coef[i]) for i in order]})
 
@@ -94,7 +128,7 @@ def explain(
         scored = scorer.score(kept, "_kept", [key, "sample"])
     # the words travel once, with the intact sample; the others carry their masks only
     words = F.when(F.col("sample") == 0, F.col("words")).alias("words")
-    joined = pert.where(F.size("words") > 0).select(key, "sample", words, "mask").join(scored, [key, "sample"])
+    joined = pert.where(F.size("words") > 0).select(key, "sample", words, packed("mask").alias("mask")).join(scored, [key, "sample"])
     key_type = df.schema[key].dataType
     out_schema = T.StructType([T.StructField(key, key_type), T.StructField("token", T.StringType()),
                                T.StructField("weight", T.DoubleType())])

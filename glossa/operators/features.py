@@ -4,8 +4,12 @@ Plan shape (per document row, no shuffle until the vocabulary):
   clean -> tokens -> n-grams -> in-row term counts -> explode (doc, term, tf)
 Vocabulary: one aggregation by term (map-side partial counts, so a term that
 occurs in a third of all documents costs one row per task), min_df filter,
-then the top ``max_features`` by corpus frequency (ties by term).  Whether a
-join broadcasts the vocabulary is left to its measured size.
+then the top ``max_features`` by corpus frequency (ties by term): histograms
+find the frequency of the last term kept, only terms of that frequency are
+ranked, and ranks come from ranges of terms.  No task sees all terms.  Whether
+a join broadcasts the vocabulary is left to its measured size.
+Weights of texts: the texts are dealt by key before they become terms, so that
+the norm of a text needs no exchange of (text, term) rows.
 
 Weights follow the reference vectorizer: case-sensitive terms, sublinear tf
 ``1 + ln(tf)``, smoothed idf ``ln((1 + N) / (1 + df)) + 1``, row L2 norm.
@@ -13,15 +17,20 @@ Weights follow the reference vectorizer: case-sensitive terms, sublinear tf
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.clean import clean_col
+from glossa.functions.clean import STEPS, clean_col
 from glossa.functions.text import ngrams, run_starts, sorted_terms, term_frequencies, word_tokens
-from glossa.session import cut_lineage
+from glossa.session import cut_lineage, materialized
 
 # Features and scores decode every HTML entity unless told otherwise.
 FULL_CLEAN = {"html": "full"}
+CLEANED = {"skip": tuple(STEPS)}  # for texts that have been cleaned
+CUT_BUCKETS = 4096  # counts that one turn of the vocabulary cut brings to the driver, at most
+RANGE_ROWS = 100_000  # terms that one task ranks, about
 
 
 def doc_tokens(df: DataFrame, text: str = "text", clean: dict | None = None,
@@ -39,14 +48,18 @@ def doc_terms(
     clean: dict | None = None,
     tokens_col: str | None = None,
     keep_empty: bool = False,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """``(key..., term, tf)`` rows; counts are taken inside the row.
+    """``(key..., term, tf)`` rows; counts are taken inside the row.  Only the first
+    ``max_length`` tokens of a text count (F7).
 
     ``tokens_col`` skips cleaning/tokenising (pre-tokenised input, e.g.
     perturbed documents).  ``keep_empty`` keeps documents with no terms as one
     row with NULL term (for scoring every document)."""
     keys = [key] if isinstance(key, str) else list(key)
     toks = F.col(tokens_col) if tokens_col else doc_tokens(df, text, clean)
+    if max_length is not None:
+        toks = F.slice(toks, 1, max_length)
     # Each stage is its own column: lambdas below index materialised arrays.
     tok = df.select(*keys, toks.alias("_tok"))
     grams = tok.select(*keys, sorted_terms(ngrams("_tok", *ngram_range)).alias("_g"))
@@ -87,30 +100,60 @@ def vocabulary_from_stats(
     min_df: int = 2,
     max_features: int | None = 50_000,
 ) -> DataFrame:
-    """``vocabulary`` on an existing ``term_stats`` table."""
-    st = stats.select("term", "df", "tf_total").where(F.col("df") >= min_df)
-    if max_features is not None:
-        # TakeOrderedAndProject: per-partition top-k then a k x partitions merge.
-        st = st.orderBy(F.col("tf_total").desc(), F.col("term").asc()).limit(max_features)
-        st = st.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    else:
-        st = term_index(st)
+    """``vocabulary`` on an existing ``term_stats`` table.  The terms of ``min_df`` documents are
+    written to the shared folder, as several jobs read them."""
+    st = materialized(stats.select("term", "df", "tf_total").where(F.col("df") >= min_df), "term-stats")
+    st = term_index(st if max_features is None else most_frequent(st, max_features))
     idf = F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
     return st.crossJoin(F.broadcast(n_docs)).select(
         "term", "df", "tf_total", idf.alias("idf"), "index"
     )
 
 
-def term_index(terms: DataFrame) -> DataFrame:
-    """Adds ``index``, the position in term order, without one task for all terms: terms are
-    dealt into ranges, ranked inside each, and shifted by the sizes of the ranges before."""
-    n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(terms.repartitionByRange(n, "term").withColumn("_p", F.spark_partition_id()))
-    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
-    shift = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(before, F.lit(0)).alias("_s"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("term"))
-    return (ranged.withColumn("_r", rank).join(F.broadcast(shift), "_p")
-            .withColumn("index", (F.col("_r") + F.col("_s") - 1).cast("int")).drop("_p", "_r", "_s"))
+def frequency_cut(stats: DataFrame, k: int, count: str = "tf_total", buckets: int = CUT_BUCKETS) -> tuple[int, int] | None:
+    """(cut, above): the ``k``-th largest value of ``count`` and how many rows lie above it, or
+    None if there are at most ``k`` rows.
+
+    Each turn counts the rows of one range of values in at most ``buckets`` equal parts and
+    goes on with the part that holds the ``k``-th; the driver sees that many counts."""
+    size = stats.agg(F.min(count).alias("lo"), F.max(count).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if size["n"] <= k:
+        return None
+    lo, hi, above = size["lo"], size["hi"], 0
+    while lo < hi:
+        width = -(-(hi - lo + 1) // buckets)
+        part = F.expr(f"({count} - {lo}) div {width}").alias("part")
+        parts = stats.where(F.col(count).between(lo, hi)).groupBy(part).count().collect()
+        for row in sorted(parts, key=lambda r: -r["part"]):
+            if above + row["count"] >= k:
+                lo, hi = lo + row["part"] * width, min(hi, lo + (row["part"] + 1) * width - 1)
+                break
+            above += row["count"]
+    return lo, above
+
+
+def most_frequent(stats: DataFrame, k: int, count: str = "tf_total", name: str = "term") -> DataFrame:
+    """The ``k`` rows of largest ``count`` (ties: smallest ``name``), without a task that sees ``k``
+    rows of every other: all above the cut, and the first of those at it."""
+    cut = frequency_cut(stats, k, count)
+    if cut is None:
+        return stats
+    value, above = cut
+    tied = term_index(stats.where(F.col(count) == value), name).where(F.col("index") < k - above).drop("index")
+    return stats.where(F.col(count) > value).unionByName(tied)
+
+
+def term_index(terms: DataFrame, name: str = "term", rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``index``, the position in order of ``name``, without one task for all terms: terms are
+    dealt into ranges of about ``rows``, ranked inside each, and shifted by the sizes of the ranges
+    before (one number per range)."""
+    n = terms.count() // rows + 1
+    ranged = cut_lineage(terms.repartitionByRange(n, name).withColumn("_p", F.spark_partition_id()))
+    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}
+    before = list(accumulate((sizes.get(i, 0) for i in range(n)), initial=0))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(name))
+    shift = F.get(F.array(*(F.lit(b) for b in before)), F.col("_p"))
+    return ranged.withColumn("index", (rank + shift - 1).cast("int")).drop("_p")
 
 
 def count_docs(df: DataFrame) -> DataFrame:
@@ -135,6 +178,24 @@ def tfidf(
     return w.select(*keys, "term", "index", (F.col("w") / norm).alias("weight"))
 
 
+def cleaned_by_key(df: DataFrame, keys: list[str], text: str, clean: dict | None = None, by: list[str] | None = None) -> DataFrame:
+    """(keys..., text), cleaned and then dealt by key: what follows keeps that partitioning (a Python
+    step, as cleaning has, would lose it)."""
+    flags = FULL_CLEAN if clean is None else clean
+    return df.select(*keys, clean_col(text, **flags).alias(text)).repartition(*(by or keys))
+
+
+def text_tfidf(
+    df: DataFrame, vocab: DataFrame, key: str | list[str] = "doc_id", text: str = "text",
+    ngram_range: tuple[int, int] = (1, 2), clean: dict | None = None, max_length: int | None = None,
+) -> DataFrame:
+    """F1-F5 from texts: ``tfidf`` with one exchange, that of the texts.  Texts of a key become
+    terms in the task that sums their norm; terms are many times the size of their texts."""
+    keys = [key] if isinstance(key, str) else list(key)
+    dealt = cleaned_by_key(df, keys, text, clean)
+    return tfidf(doc_terms(dealt, keys, text, ngram_range, CLEANED, max_length=max_length), vocab, keys)
+
+
 def length_coverage(df: DataFrame, lengths=(64, 128, 160, 512), text: str = "text",
                     clean: dict | None = None) -> DataFrame:
     """share of documents whose token count fits ``max_length``."""

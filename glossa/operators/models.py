@@ -18,7 +18,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,7 @@ from glossa.operators import features as FE
 from glossa.operators.split import class_weights
 from glossa.schemas import LABEL_NAMES
 from glossa.session import cut_lineage, materialized
+from glossa.sources import versions
 from glossa.sources.corpus import path_exists
 
 
@@ -46,11 +47,14 @@ class LinearTextModel:
     ngram_range: tuple[int, int] = settings.ngram_range
     max_features: int | None = settings.max_features
     clean: dict = field(default_factory=lambda: dict(FE.FULL_CLEAN))
+    max_length: int | None = None
 
     def save(self, path: str) -> None:
-        """Parameter table as parquet plus a one-row metadata table."""
+        """Parameter table as parquet plus a one-row metadata table, as a new version that
+        readers see only when it is whole."""
         spark = self.params.sparkSession
-        self.params.write.mode("overwrite").parquet(f"{path}/params")
+        folder = versions.new_folder(path)
+        self.params.write.parquet(f"{folder}/params")
         icpt = self.intercept if isinstance(self.intercept, DataFrame) else spark.createDataFrame(
             [(float(self.intercept),)], "intercept double")
         meta = icpt.select(
@@ -59,19 +63,21 @@ class LinearTextModel:
             F.lit(self.model_version).alias("model_version"),
             F.lit(self.kind).alias("kind"),
             F.lit(json.dumps({"ngram_range": list(self.ngram_range), "max_features": self.max_features,
-                              "clean": self.clean})).alias("options"),
+                              "clean": self.clean, "max_length": self.max_length})).alias("options"),
         )
-        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        meta.coalesce(1).write.parquet(f"{folder}/meta")
+        versions.publish(spark, path, folder)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LinearTextModel":
-        """Load; a missing path raises FileNotFoundError."""
-        if not path_exists(spark, f"{path}/meta"):
+        """Load the current version; a missing path raises FileNotFoundError."""
+        folder = versions.current(spark, path) or path  # a folder of its own holds one unversioned model
+        if not path_exists(spark, f"{folder}/meta"):
             raise FileNotFoundError(f"{path} holds no saved linear model")
-        meta = spark.read.parquet(f"{path}/meta").first()
+        meta = spark.read.parquet(f"{folder}/meta").first()
         opts = json.loads(meta["options"])
         return cls(
-            params=spark.read.parquet(f"{path}/params"),
+            params=spark.read.parquet(f"{folder}/params"),
             intercept=float(meta["intercept"]),
             threshold=float(meta["threshold"]),
             model_version=meta["model_version"],
@@ -79,6 +85,7 @@ class LinearTextModel:
             ngram_range=tuple(opts["ngram_range"]),
             max_features=opts["max_features"],
             clean=opts["clean"],
+            max_length=opts["max_length"],
         )
 
 
@@ -137,7 +144,7 @@ def score(
         df.select(*([key] if isinstance(key, str) else list(key)), *carry,
                   *([tokens_col] if tokens_col else [text])),
         [key] + list(carry) if isinstance(key, str) else list(key) + list(carry),
-        text, model.ngram_range, model.clean, tokens_col=tokens_col, keep_empty=True,
+        text, model.ngram_range, model.clean, tokens_col=tokens_col, keep_empty=True, max_length=model.max_length,
     )
     return score_terms(terms, model, key, carry)
 
@@ -237,17 +244,6 @@ def labelled_log_count_ratio_model(
 
 # --------------------------------------------------------------------------- training
 
-def _sparse_vector_udf(size: int):
-    def build(idx, val):
-        if idx is None:
-            return SparseVector(size, [], [])
-        pairs = sorted(zip(idx, val))
-        return SparseVector(size, [i for i, _ in pairs], [v for _, v in pairs])
-
-    # Per-document helper at the fit boundary only (Spark ML needs VectorUDT).
-    return F.udf(build, VectorUDT(), useArrow=False)
-
-
 @dataclass
 class FeatureSpace:
     vocab: DataFrame
@@ -255,46 +251,77 @@ class FeatureSpace:
     ngram_range: tuple[int, int]
     max_features: int | None
     clean: dict
+    max_length: int | None = None
 
 
 def fit_features(
     df: DataFrame, key: str = "doc_id", text: str = "text", ngram_range=settings.ngram_range,
     min_df: int = settings.min_df, max_features: int | None = settings.max_features,
-    clean: dict | None = None, checkpoint: bool = True,
+    clean: dict | None = None, checkpoint: bool = True, max_length: int | None = None,
 ) -> FeatureSpace:
     """F1–F3/K4 fit: the vocabulary (term, df, tf_total, idf, index).
 
     The vocabulary is cut from the plan (reliable checkpoint to the shared
     folder) because every later stage reads it."""
     clean = clean or dict(FE.FULL_CLEAN)
-    terms = FE.doc_terms(df.select(key, text), key, text, ngram_range, clean)
+    terms = FE.doc_terms(df.select(key, text), key, text, ngram_range, clean, max_length=max_length)
     vocab = FE.vocabulary(terms, FE.count_docs(df), min_df, max_features)
     if checkpoint:
         vocab = materialized(vocab, "vocabulary")
     size = vocab.count()
-    return FeatureSpace(vocab, size, ngram_range, max_features, clean)
+    return FeatureSpace(vocab, size, ngram_range, max_features, clean, max_length)
 
 
-def vectorize(
+def sparse_rows(
     df: DataFrame, fs: FeatureSpace, key: str = "doc_id", text: str = "text",
     carry: Sequence[str] = (), tokens_col: str | None = None,
 ) -> DataFrame:
-    """(key, carry..., features SparseVector) — L2-normalised sublinear TF-IDF."""
+    """(key, carry..., indices array<int>, values array<double>) of every text: L2-normalised
+    sublinear TF-IDF, indices ascending.  Texts are dealt by key before they become terms, so
+    the terms of a text meet again without an exchange."""
     keys = [key] + list(carry)
-    src = df.select(*keys, *([tokens_col] if tokens_col else [text]))
-    terms = FE.doc_terms(src, keys, text, fs.ngram_range, fs.clean, tokens_col=tokens_col, keep_empty=True)
+    if tokens_col:
+        src = df.select(*keys, tokens_col).repartition(key)
+    else:
+        src = FE.cleaned_by_key(df, keys, text, fs.clean, [key])
+    terms = FE.doc_terms(src, keys, text, fs.ngram_range, FE.CLEANED, tokens_col=tokens_col, keep_empty=True,
+                         max_length=fs.max_length)
     v = fs.vocab.select("term", "idf", "index")
     j = terms.join(v, "term", "left")
     w = (1.0 + F.ln(F.col("tf"))) * F.col("idf")
     per_doc = j.groupBy(*keys).agg(
-        F.collect_list(F.when(F.col("index").isNotNull(), F.struct(F.col("index").alias("i"), w.alias("w"))))
+        F.sort_array(F.collect_list(F.when(F.col("index").isNotNull(), F.struct(F.col("index").alias("i"), w.alias("w")))))
         .alias("_e"),
         F.coalesce(F.sum(w * w), F.lit(0.0)).alias("_ss"),
     )
     nrm = F.when(F.col("_ss") > 0, F.sqrt("_ss")).otherwise(F.lit(1.0))
-    per_doc = per_doc.select(
-        *keys, F.col("_e.i").alias("_i"), F.transform(F.col("_e.w"), lambda x: x / nrm).alias("_v"))
-    return per_doc.select(*keys, _sparse_vector_udf(fs.size)("_i", "_v").alias("features"))
+    return per_doc.select(*keys, F.col("_e.i").alias("indices"), F.transform(F.col("_e.w"), lambda x: x / nrm).alias("values"))
+
+
+def as_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """``indices`` and ``values`` become one Spark ML sparse vector, ``features``.
+
+    A vector column is a struct in the engine's own rows.  The struct is built by expressions;
+    no built-in function gives it the vector type, so Arrow batches pass through one task
+    function unchanged, declared as vectors."""
+    struct = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), "indices", "values")
+    plain = rows.select(*[c for c in rows.columns if c not in ("indices", "values")], struct.alias("features"))
+    fields = [T.StructField("features", VectorUDT()) if f.name == "features" else f for f in plain.schema.fields]
+    return plain.mapInArrow(lambda batches: batches, T.StructType(fields))
+
+
+def vectorize(
+    df: DataFrame, fs: FeatureSpace, key: str = "doc_id", text: str = "text",
+    carry: Sequence[str] = (), tokens_col: str | None = None,
+) -> DataFrame:
+    """(key, carry..., features SparseVector) — L2-normalised sublinear TF-IDF."""
+    return as_vectors(sparse_rows(df, fs, key, text, carry, tokens_col), fs.size)
+
+
+def weighted(vec: DataFrame, train: DataFrame, label: str = "label", class_weight="balanced") -> DataFrame:
+    """``vec`` with ``label_d`` and the class's ``weight`` (one row per class is joined)."""
+    cw = class_weights(train, label, class_weight)
+    return vec.join(F.broadcast(cw.select(label, "weight")), label).withColumn("label_d", F.col(label).cast("double"))
 
 
 def fit_lr(
@@ -309,9 +336,7 @@ def fit_lr(
     table.  Returns the relational ``LinearTextModel`` and the Spark ML model."""
     fs = fs or fit_features(train, key, text, **feature_kw)
     vec = vectors if vectors is not None else vectorize(train, fs, key, text, carry=[label])
-    cw = class_weights(train, label, class_weight)
-    data = vec.join(F.broadcast(cw.select(label, "weight")), label).withColumn(
-        "label_d", F.col(label).cast("double"))
+    data = weighted(vec, train, label, class_weight)
     if vectors is None:
         # The optimiser reads its input once per iteration: cut the lineage into
         # the shared checkpoint folder so a lost executor re-reads, not recomputes.
@@ -324,25 +349,39 @@ def fit_lr(
     )
     ml = lr.fit(data)
     spark = train.sparkSession
-    coefs = ml.coefficients.toArray()  # model parameters: bounded by the vocabulary size
-    cdf = spark.createDataFrame([(int(i), float(c)) for i, c in enumerate(coefs)], "index int, coef double")
-    params = materialized(fs.vocab.select("term", "idf", "index").join(cdf, "index"), "params")
-    model = LinearTextModel(params=params, intercept=float(ml.intercept), threshold=threshold,
-                            model_version=model_version, kind="baseline", ngram_range=fs.ngram_range,
-                            max_features=fs.max_features, clean=fs.clean)
+    model = linear_model(spark, fs, ml.coefficients.toArray(), float(ml.intercept), threshold, model_version)
     return model, ml
 
 
+def linear_model(spark: SparkSession, fs: FeatureSpace, coefs, intercept: float, threshold: float = settings.threshold,
+                 model_version: str = settings.model_version, kind: str = "baseline") -> LinearTextModel:
+    """The relational model of a coefficient array over ``fs`` (the optimiser's own, on the driver)."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = pa.table({"index": np.arange(len(coefs), dtype=np.int32), "coef": np.asarray(coefs, dtype=np.float64)})
+    params = materialized(fs.vocab.select("term", "idf", "index").join(spark.createDataFrame(table), "index"), "params")
+    return LinearTextModel(params=params, intercept=intercept, threshold=threshold, model_version=model_version, kind=kind,
+                           ngram_range=fs.ngram_range, max_features=fs.max_features, clean=fs.clean,
+                           max_length=fs.max_length)
+
+
 ESTIMATORS: Mapping[str, Callable[..., object]] = {
     "naive_bayes": lambda **kw: NaiveBayes(featuresCol="features", labelCol="label_d", modelType="multinomial",
                                            probabilityCol="probv", **kw),
     "linear_svc": lambda **kw: LinearSVC(featuresCol="features", labelCol="label_d", **kw),
+    "dense_lr": lambda **kw: LogisticRegression(featuresCol="features", labelCol="label_d", elasticNetParam=0.0,
+                                                standardization=False, maxIter=settings.max_iter, **kw),
 }
 
 
-def fit_other(train_vec: DataFrame, family: str, **kw):
-    """Another Spark ML family on the same feature table."""
-    return ESTIMATORS[family](**kw).fit(train_vec)
+def fit_other(train_vec: DataFrame, family: str, label: str = "label", class_weight="balanced", C: float = settings.C, **kw):
+    """Another Spark ML family on the same feature table, with the class weights of T3.
+    Families with a penalty take the strength of T4, ``1 / (C * sum(weights))``."""
+    data = cut_lineage(weighted(train_vec.drop("label_d"), train_vec, label, class_weight))
+    if family != "naive_bayes" and "regParam" not in kw:
+        kw["regParam"] = 1.0 / (C * data.agg(F.sum("weight")).first()[0])
+    return ESTIMATORS[family](weightCol="weight", **kw).fit(data)
 
 
 def ml_positive_score(ml_model, vec: DataFrame, family: str) -> DataFrame:

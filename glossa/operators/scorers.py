@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from glossa.config import settings
 from glossa.operators import models as MO
 from glossa.session import materialized
+from glossa.sources import versions
 from glossa.sources.corpus import path_exists
 
 
@@ -72,22 +73,25 @@ class SparkMLScorer:
 
     def save(self, path: str) -> None:
         spark = self.features.vocab.sparkSession
-        self.features.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.fitted.write().overwrite().save(f"{path}/fitted")
+        folder = versions.new_folder(path)
+        self.features.vocab.write.parquet(f"{folder}/vocabulary")
+        self.fitted.write().save(f"{folder}/fitted")
         fs = self.features
         options = json.dumps({"size": fs.size, "ngram_range": list(fs.ngram_range), "max_features": fs.max_features,
-                              "clean": fs.clean})
+                              "clean": fs.clean, "max_length": fs.max_length})
         spark.createDataFrame([(self.family, self.threshold, self.model_version, options)],
                               "family string, threshold double, model_version string, options string") \
-            .coalesce(1).write.mode("overwrite").parquet(f"{path}/scorer")
+            .coalesce(1).write.parquet(f"{folder}/scorer")
+        versions.publish(spark, path, folder)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SparkMLScorer":
-        meta = spark.read.parquet(f"{path}/scorer").first()
+        folder = versions.current(spark, path) or path
+        meta = spark.read.parquet(f"{folder}/scorer").first()
         opts = json.loads(meta["options"])
-        fs = MO.FeatureSpace(spark.read.parquet(f"{path}/vocabulary"), opts["size"], tuple(opts["ngram_range"]),
-                             opts["max_features"], opts["clean"])
-        fitted = DefaultParamsReader.loadParamsInstance(f"{path}/fitted", spark)
+        fs = MO.FeatureSpace(spark.read.parquet(f"{folder}/vocabulary"), opts["size"], tuple(opts["ngram_range"]),
+                             opts["max_features"], opts["clean"], opts["max_length"])
+        fitted = DefaultParamsReader.loadParamsInstance(f"{folder}/fitted", spark)
         return cls(fs, fitted, meta["family"], meta["threshold"], meta["model_version"])
 
 
@@ -119,7 +123,7 @@ class ConstantScorer:
 
 def load_scorer(spark: SparkSession, path: str) -> Scorer:
     """The saved scorer of either kind; a missing one raises FileNotFoundError."""
-    if path_exists(spark, f"{path}/scorer"):
+    if path_exists(spark, f"{versions.current(spark, path) or path}/scorer"):
         return SparkMLScorer.load(spark, path)
     return LinearScorer(MO.LinearTextModel.load(spark, path))
 

@@ -45,21 +45,49 @@ def register_breakdown(df: DataFrame, register: str = REGISTER, text: str = TEXT
     return g.withColumn("pct_positive", F.round(F.try_divide(F.col("n_positive") * 100.0, F.col("n")), 2))
 
 
+def length_rows(df: DataFrame, by: list[str], text: str = TEXT) -> DataFrame:
+    """(by..., metric, v): token and char counts in long form."""
+    both = F.array(F.struct(F.lit("n_tokens").alias("metric"), whitespace_token_count(text).alias("v")),
+                   F.struct(F.lit("n_chars").alias("metric"), char_count(text).alias("v")))
+    return df.select(*by, F.explode(both).alias("m")).select(*by, "m.metric", "m.v")
+
+
+def sketch_rank_error(k: int) -> float:
+    """Error of a KLL sketch's ranks, as a share of all rows, that 99 % of estimates keep."""
+    return 2.296 / k ** 0.9723
+
+
+def length_sketches(df: DataFrame, by: list[str], text: str = TEXT, k: int = 800) -> DataFrame:
+    """A4 for unbounded domains: (by..., metric, n, sketch), a KLL quantile sketch of a few kB per
+    group.  Sketches of parts (days, sources, files) can be stored and merged later."""
+    return length_rows(df, by, text).groupBy(*by, "metric").agg(
+        F.count("v").alias("n"), F.kll_sketch_agg_bigint("v", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: list[str], probabilities=(0.25, 0.5, 0.75), k: int = 800) -> DataFrame:
+    """(by..., metric, n, q, value) of the merged sketches of each group."""
+    merged = sketches.groupBy(*by, "metric").agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+    each = F.array(*(F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias("value"))
+                     for q in probabilities))
+    return merged.where("n > 0").select(*by, "metric", "n", F.explode(each).alias("e")).select(*by, "metric", "n", "e.q", "e.value")
+
+
+def quantile_ranks(values: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFrame:
+    """``quantiles`` with the shares of rows below (``below``) and up to (``up_to``) each value."""
+    keys = [*by, "metric"]
+    found = values.where("v is not null").join(F.broadcast(quantiles), keys)  # groups x probabilities rows
+    return found.groupBy(*keys, "n", "q", "value").agg(
+        (F.count_if(F.col("v") < F.col("value")) / F.col("n")).alias("below"),
+        (F.count_if(F.col("v") <= F.col("value")) / F.col("n")).alias("up_to"))
+
+
 def length_describe(df: DataFrame, by: str = LABEL, text: str = TEXT, approx: bool = False) -> DataFrame:
     """A4: grouped describe of token and char counts, long form.
 
     Columns: by, metric, count, mean, std (sample), min, p25, p50, p75, max.
     ``approx=True`` uses ``percentile_approx`` for unbounded value domains.
     """
-    long = df.select(
-        F.col(by),
-        F.explode(
-            F.array(
-                F.struct(F.lit("n_tokens").alias("metric"), whitespace_token_count(text).alias("v")),
-                F.struct(F.lit("n_chars").alias("metric"), char_count(text).alias("v")),
-            )
-        ).alias("m"),
-    ).select(by, "m.metric", "m.v")
+    long = length_rows(df, [by], text)
     if approx:
         q = F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).cast("array<double>")
     else:

@@ -25,6 +25,8 @@ from glossa.operators.normalize import drop_null_text, merge_corpora, normalize
 from glossa.plans import data as D
 from glossa.plans import flagship as FL
 from glossa.plans.storage import QUERIES as STORAGE
+from glossa.plans.streams import QUERIES as STREAMS
+from glossa.plans.training import QUERIES as TRAINING
 from glossa.session import materialized, read_table
 
 PREDS = {"model_a": "pred_a", "model_b": "pred_b"}
@@ -186,6 +188,17 @@ def length_describe(spark, sf):
     return _round(ST.length_describe(D.labelled(spark, sf)))
 
 
+def length_sketch_quantiles(spark, sf):
+    """A4 by sketches: one per class and source, merged by class; whether each quantile's true rank
+    lies within twice the stated error."""
+    lab = D.labelled(spark, sf)
+    found = ST.sketch_quantiles(ST.length_sketches(lab, ["label", "source"]), ["label"])
+    ranks = ST.quantile_ranks(ST.length_rows(lab, ["label"]), materialized(found, "quantiles"), ["label"])
+    spread = F.lit(2 * ST.sketch_rank_error(800)) + 1 / F.col("n")
+    return ranks.select("label", "metric", "n", "q", ((F.col("below") <= F.col("q") + spread)
+                                                     & (F.col("up_to") >= F.col("q") - spread)).alias("within_error"))
+
+
 def length_histogram(spark, sf):
     return _round(ST.length_histogram(D.labelled(spark, sf)))
 
@@ -234,10 +247,8 @@ def vocabulary_uncapped(spark, sf):
 
 def tfidf_weights(spark, sf):
     docs = D.documents(spark, sf)
-    # the terms have two readers (vocabulary and weights): tokenise once
-    terms = materialized(FE.doc_terms(docs.select("doc_id", "text")), "terms")
-    v = materialized(FE.vocabulary(terms, FE.count_docs(docs), 2, 50_000), "vocabulary")
-    return _round(FE.tfidf(terms, v, "doc_id"))
+    v = materialized(_vocab(docs)[1], "vocabulary")
+    return _round(FE.text_tfidf(docs, v))
 
 
 # ----------------------------------------------------------------------------- T
@@ -326,6 +337,13 @@ def prediction_join(spark, sf):
     return _round(E.join_predictions(a, [b], "doc_id"))
 
 
+def prediction_join_text(spark, sf):
+    """J1 on the text: repeated texts multiply."""
+    s = _scored(spark, sf)
+    a = s.select("text", "label", "language_register", "pred_a", "prob_a")
+    return _round(E.join_predictions_on_text(a, [s.select("text", "pred_b", "prob_b")]))
+
+
 def confident_fp(spark, sf):
     return _round(E.confident_mistakes(_scored(spark, sf), "pred_a", "prob_a", "fp", 10))
 
@@ -391,6 +409,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "curation_summary": curation_summary,
     "length_describe": length_describe,
     "length_histogram": length_histogram,
+    "length_sketch_quantiles": length_sketch_quantiles,
     "length_coverage": length_coverage,
     "token_counts": token_counts,
     "log_odds_top": log_odds_top,
@@ -412,6 +431,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaderboard": leaderboard,
     "test_vs_probe": test_vs_probe,
     "prediction_join": prediction_join,
+    "prediction_join_text": prediction_join_text,
     "confident_fp": confident_fp,
     "confident_fn": confident_fn,
     "accuracy_by_length": accuracy_by_length,
@@ -430,4 +450,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_score": lambda spark, sf: _round(FL.stream_score(spark, sf)),
     "stream_dedup": lambda spark, sf: FL.stream_dedup(spark, sf).select("text"),
     **{name: (lambda q: lambda spark, sf: _round(q(spark, sf)))(q) for name, q in STORAGE.items()},
+    **TRAINING,
+    **STREAMS,
 }

@@ -61,8 +61,7 @@ def select_best_model(spark: SparkSession, sf: str) -> DataFrame:
     train = tv.where(F.col("part") == "train")
     val = tv.where(F.col("part") == "test")
     fs = MO.fit_features(train, "doc_id", "text")
-    tr_vec = cut_lineage(MO.vectorize(train, fs, "doc_id", "text", carry=["label"]).withColumn(
-        "label_d", F.col("label").cast("double")))
+    tr_vec = cut_lineage(MO.vectorize(train, fs, "doc_id", "text", carry=["label"]))
     cands = {}
     for C in (0.1, 1.0, 10.0):
         model, _ = MO.fit_lr(train, "doc_id", "text", "label", C=C, fs=fs, vectors=tr_vec)
@@ -85,14 +84,9 @@ def _embedding_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _embedding_model(spark: SparkSession, sf: str):
-    from pyspark.ml.classification import LogisticRegression
-
-    data = _embedding_data(spark, sf)
-    split = SP.stratified_split(data, "vec_id", "label", 0.2, 42)
-    train = split.where(F.col("split") == "train").withColumn("label_d", F.col("label").cast("double"))
-    ml = LogisticRegression(featuresCol="features", labelCol="label_d", regParam=0.01,
-                            maxIter=settings.max_iter).fit(train)
-    return ml, split
+    split = SP.stratified_split(_embedding_data(spark, sf), "vec_id", "label", 0.2, 42)
+    train = split.where(F.col("split") == "train")
+    return MO.fit_other(train.select("vec_id", "label", "features"), "dense_lr"), split
 
 
 def embedding_lr_report(spark: SparkSession, sf: str) -> DataFrame:

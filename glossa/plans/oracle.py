@@ -21,6 +21,7 @@ from glossa.functions.clean import (
     WHITESPACE_PATTERN,
 )
 from glossa.functions.text import EDA_WORD_PATTERN, TERM_PATTERN
+from glossa.plans.streams import DELAY_SECONDS, LATE_SECONDS, PART_SECONDS, PARTS
 from glossa.plans.data import PROBE_SOURCE, RARE_ENTITIES, SYNTH_PREFIX
 
 
@@ -215,6 +216,25 @@ def _clean_query(step_sql: str) -> str:
     return f"WITH {SYNTH} SELECT doc_id, {step_sql} AS cleaned FROM synth"
 
 
+def _arrivals_sql() -> str:
+    """The micro-batches one after the other: mark, late rows, first rows of new texts, state."""
+    steps = [f"""docs AS (SELECT doc_id, text, doc_id % {PARTS} AS part, (doc_id % {PARTS}) * {PART_SECONDS} + doc_id % 600
+  - CASE WHEN doc_id % 10 = 7 THEN {LATE_SECONDS} ELSE 0 END + {LATE_SECONDS} AS ts FROM documents),
+mark0 AS (SELECT NULL::BIGINT AS m)"""]
+    for p in range(PARTS):
+        seen = f"AND NOT EXISTS (SELECT 1 FROM state{p - 1} s WHERE s.text IS NOT DISTINCT FROM o.text)" if p else ""
+        before = f"SELECT text, ts FROM state{p - 1} UNION ALL" if p else ""
+        steps.append(f"""part{p} AS (SELECT doc_id, text, ts FROM docs WHERE part = {p}),
+on{p} AS (SELECT doc_id, text, ts, row_number() OVER (PARTITION BY text ORDER BY ts, doc_id) AS place FROM part{p}, mark{p}
+  WHERE m IS NULL OR ts >= m),
+new{p} AS MATERIALIZED (SELECT doc_id, text, ts FROM on{p} o WHERE place = 1 {seen}),
+mark{p + 1} AS (SELECT greatest((SELECT max(ts) FROM part{p}) - {DELAY_SECONDS}, m)::BIGINT AS m FROM mark{p}),
+state{p} AS MATERIALIZED (SELECT text, ts FROM ({before} SELECT text, ts FROM new{p}), mark{p + 1} WHERE m IS NULL OR ts + {DELAY_SECONDS} >= m),
+rows{p} AS (SELECT doc_id, CASE WHEN ts < m THEN 'late' WHEN doc_id IN (SELECT doc_id FROM new{p}) THEN 'first' ELSE 'duplicate' END
+  AS status FROM part{p}, mark{p})""")
+    return "WITH " + ",\n".join(steps)
+
+
 def oracle_sql() -> dict[str, str]:
     s: dict[str, str] = {}
     s["normalize_corpus"] = """SELECT d.doc_id, CAST(d.text AS VARCHAR) AS text, CAST(l.quality AS BIGINT) AS label,
@@ -397,4 +417,26 @@ SELECT doc_id AS vec_id, label, split, true AS agrees FROM {split_sql('src')}"""
   sp AS {split_sql('src')}
 SELECT count_if(split = 'test') AS n_test, count_if(split = 'test' AND label = 0) AS n_negative,
   count_if(split = 'test' AND label = 1) AS n_positive, true AS same_score, count_if(split = 'train') AS n_train, true AS converged FROM sp"""
+    corpus = (f"WITH {LABELLED}, src AS (SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY text "
+              "ORDER BY doc_id) AS rn FROM labelled) WHERE rn = 1)")
+    parts = (f"{corpus}, sp AS {split_sql('src')}, tr AS (SELECT doc_id, label FROM sp WHERE split = 'train'), "
+             f"va AS {split_sql('tr', 0.15)}")
+    s["tuned_by_macro_f1"] = f"""{parts} SELECT 3::BIGINT AS n_candidates, true AS metric_is_macro_f1, true AS winner_is_argmax,
+  count(*) AS n_rows, count_if(label = 1) AS n_positive FROM tr"""
+    s["early_stopping"] = f"""{parts} SELECT true AS stops_by_patience, true AS best_is_argmax, true AS score_is_best_epoch,
+  true AS restart_is_same, count(*) AS n_validation, count_if(label = 1) AS n_positive FROM va WHERE split = 'test'"""
+    s["prediction_join_text"] = f"""WITH {SCORED} SELECT a.text, a.label, a.language_register, a.pred_a, {r6('a.prob_a')} AS prob_a,
+  b.pred_b, {r6('b.prob_b')} AS prob_b FROM scored a JOIN scored b ON a.text = b.text"""
+    s["length_sketch_quantiles"] = f"""WITH {LABELLED} SELECT label, metric, count(text) AS n, q, true AS within_error
+FROM labelled, (VALUES ('n_tokens'), ('n_chars')) m(metric), (VALUES (0.25::DOUBLE), (0.5), (0.75)) p(q)
+GROUP BY label, metric, q HAVING count(text) > 0"""
+    emptied = "(SELECT doc_id, CASE WHEN doc_id % 20 <> 3 THEN text END AS text FROM documents)"
+    s["text_batches_agree"] = f"""WITH src AS {emptied}, t AS (SELECT doc_id, cleaned FROM {clean_rows('src', 'doc_id', 'text')})
+SELECT doc_id, CAST(CASE WHEN cleaned IS NULL THEN 0 ELSE least(len(regexp_extract_all(cleaned, {q(TERM_PATTERN)})), 128) END AS BIGINT) AS n_tokens, true AS agrees FROM t"""
+    s["stream_arrivals"] = _arrivals_sql() + " SELECT doc_id, status, batch FROM (" + " UNION ALL ".join(
+        f"SELECT doc_id, status, {p}::INTEGER AS batch FROM rows{p}" for p in range(PARTS)) + ")"
+    s["stream_state"] = _arrivals_sql() + " UNION ALL ".join(
+        f" SELECT {p}::INTEGER AS batch, (SELECT count(*) FROM part{p}) AS rows, (SELECT count(*) FROM part{p}, mark{p} "
+        f"WHERE ts < m) AS late_rows, (SELECT count(*) FROM state{p}) AS state_rows, (SELECT m FROM mark{p + 1}) AS mark"
+        for p in range(PARTS))
     return s

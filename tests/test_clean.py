@@ -47,7 +47,7 @@ def test_html_basic_and_full(spark):
 def test_full_chain_and_opt_out(spark):
     s = "Wow &amp; sooooo  great @user #blessed https://x.io/y"
     assert run(spark, C.clean_col, [s]) == ["Wow & sooo great <USER> blessed <URL>"]
-    kept = run(spark, lambda c: C.clean_col(c, replace_url=False, collapse_repeat=False), [s])
+    kept = run(spark, lambda c: C.clean_col(c, skip=("urls", "repeats")), [s])
     assert kept == ["Wow & sooooo great <USER> blessed https://x.io/y"]
 
 
