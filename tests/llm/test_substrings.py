@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,7 +171,7 @@ def test_template_with_own_words_makes_no_block(spark, monkeypatch):
     rng = random.Random(13)
     template = prose(rng, 80, 10_000)
     texts = [(i, template + " " + prose(rng, 20, 10_000)) for i in range(60)]
-    sizes = spied(monkeypatch, "_all_pairs", ["token"], 0)
+    sizes = spied(monkeypatch, "_open_points", ["token"], 0)
     found = by_row(ngram_join.jaccard_components(build(spark, texts)))
     assert_rows(texts, brute_components(texts), found, ("n_shingles", "component_id"))
     assert max(sizes, default=0) < 10
@@ -185,12 +186,72 @@ def test_large_blocks_are_dealt_in_chunks(spark, monkeypatch, rounds):
     texts += [(200 + i, template + " " + prose(rng, 1 + i, 10_000)) for i in range(20)]
     monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "CHUNK", 20)
-    blocks, groups = spied(monkeypatch, "_all_pairs", ["token"], 0), spied(monkeypatch, "_members", ["token", "band", "x", "y"], 1)
+    monkeypatch.setattr(ngram_join, "SET_CHUNK", 2000)
+    blocks, groups = spied(monkeypatch, "_open_points", ["token"], 0), spied(monkeypatch, "_members", ["token", "band", "x", "y"], 1)
     found = by_row(ngram_join.jaccard_components(build(spark, texts)))
     assert_rows(texts, brute_components(texts), found, ("n_shingles", "component_id"))
     assert max(blocks) > 100 and 16 < max(groups) < 80
 
 
+def near_template(rng, families, size):
+    """Texts of a family share about 0.67 of their shingles, some pairs of each family more; few link."""
+    texts = []
+    for f in range(families):
+        template = prose(rng, 160, 100_000).split(" ")
+        for i in range(size):
+            words = template[:]
+            for place in rng.sample(range(0, 160, 5), 6):
+                words[place] = f"own{f}x{i}x{place}"
+            texts.append((len(texts), " ".join(words)))
+            if i % 5 == 0:
+                words[80:82] = ["linked", "copy"]
+                texts.append((len(texts), " ".join(words)))
+    return texts
+
+
+def test_join_output_is_linear(spark, monkeypatch):
+    """Families four times as large give about four times the rows, not sixteen, and all links."""
+    sent = []
+    for size in (16, 64):
+        points, links = spied(monkeypatch, "_open_points", ["c"], 1), spied(monkeypatch, "_forest", ["a", "b"], 1)
+        texts = near_template(random.Random(29), 6, size)
+        found = by_row(ngram_join.jaccard_components(build(spark, texts)))
+        assert_rows(texts, brute_components(texts), found, ("n_shingles", "component_id"))
+        assert sum(links) < len(texts)
+        sent.append((sum(points) + sum(links)) / len(texts))
+        monkeypatch.undo()
+    assert sent[1] < 2 * max(sent[0], 1)
+
+
+def test_met_before():
+    rng = random.Random(2)
+    lists = [np.array(rng.sample(range(-50, 150), rng.choice([0, 1, 5, 30, 70])), np.int64) for _ in range(60)]
+    a, b = (np.array([rng.randrange(60) for _ in range(500)]) for _ in range(2))
+    assert ngram_join.met_before(lists, a, b).tolist() == [bool(set(lists[i].tolist()) & set(lists[j].tolist())) for i, j in zip(a, b)]
+
+
+def test_spanning_links():
+    """The links of a group join what brute force joins, with fewer rows than sets."""
+    rng = random.Random(4)
+    for _ in range(20):
+        base = rng.sample(range(1000), 40)
+        sets = [np.array(sorted(set(base[:rng.randint(25, 40)]) | set(rng.sample(range(1000), rng.randint(1, 9)))), np.uint64)
+                for _ in range(30)]
+        label = np.array([rng.randrange(25) for _ in sets])
+        links = ngram_join.spanning_links(sets, label, lambda i, js: np.ones(len(js), bool), 75)
+        every = [(i, j) for i in range(30) for j in range(i) if label[i] != label[j]
+                 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+
+        def joined(pairs):
+            comp = label.tolist()
+            for i, j in pairs:
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+            first = {}
+            return [first.setdefault(c, k) for k, c in enumerate(comp)]
+
+        assert joined(links) == joined(every) and len(links) < len(set(label.tolist()))
+
+
 def test_ngram_join_without_pivots(chained, monkeypatch):
     """The R-tree alone finds every pair, and shingles in any order do."""
     texts, docs = chained
