@@ -11,11 +11,11 @@ ends, A-Z lower-cased.  Lines whose key has at least one code point and stands i
    levels (a key sits at the first level where no other meets it; its slot is the number of
    set bits before), a 32-bit fingerprint and a count in each slot.  Counts stop at what the
    threshold needs, so they take the fewest bytes.
-3. Texts probe the arrays: the digests of a slice of texts go out packed, one row per shard,
-   and each meets its shard's arrays.  No line is joined with a line.  A line in
-   ``least_docs`` texts of one slice is answered at once and needs no probe, so a very
-   common line costs each slice less than ``least_docs`` probes.  Spark may split the probes of
-   a shard (sort-merge join, rows of bounded size).
+3. Texts probe the arrays: the digests of a slice of texts go out packed by shard, and are
+   dealt and sorted behind the one row of their shard's arrays.  No line is joined with a line,
+   and no array travels twice.  A line in ``least_docs`` texts of one slice is answered at once
+   and needs no probe, so a very common line costs each slice less than ``least_docs`` probes.
+   A task holds one shard's arrays and one row of probes at a time.
 4. What is to go comes back by text, and the texts drop their lines.
 
 No shard, slice or probe row grows with the corpus; their numbers do.  Null and empty texts
@@ -162,13 +162,18 @@ def build_index(counts: DataFrame, least_docs: int = LEAST_DOCS, shard: int = SH
     return dealt.groupBy("shard").applyInArrow(run, INDEX), shards
 
 
-def counts_at(h: np.ndarray, f: np.ndarray, sizes: list[int], bits: bytes, prints: bytes, counts: bytes, n: int) -> np.ndarray:
-    """The count of every digest in one shard, 0 for those that it does not hold."""
-    own = PerfectHash(list(sizes), np.unpackbits(np.frombuffer(bits, np.uint8), count=sum(sizes)).astype(bool))
-    held = np.frombuffer(counts, np.dtype(f"<u{len(counts) // n}")).astype(np.int64)
-    at = own.slot(h, f)
-    good = (at >= 0) & (np.frombuffer(prints, "<u4")[at] == f)
-    return np.where(good, held[at], 0)
+class Shard:
+    """The arrays of one shard, as ``build_index`` packs them."""
+
+    def __init__(self, sizes: list[int], bits: bytes, prints: bytes, counts: bytes, n: int):
+        self.places = PerfectHash(list(sizes), np.unpackbits(np.frombuffer(bits, np.uint8), count=sum(sizes)).astype(bool))
+        self.prints = np.frombuffer(prints, "<u4")
+        self.counts = np.frombuffer(counts, np.dtype(f"<u{len(counts) // n}")).astype(np.int64)
+
+    def counts_at(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """The count of every digest, 0 for those that the shard does not hold."""
+        at = self.places.slot(h, f)
+        return np.where((at >= 0) & (self.prints[at] == f), self.counts[at], 0)
 
 
 def _probes(lines: DataFrame, shards: int, least_docs: int) -> DataFrame:
@@ -205,15 +210,23 @@ def _frequent(probes: DataFrame, index: DataFrame, least_docs: int) -> DataFrame
                 yield rows(np.frombuffer(names, np.int64), np.frombuffer(raw, DIGEST))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Shard | None = None
         for batch in batches:
             for i in range(batch.num_rows):
-                names, raw, n, sizes, bits, prints, counts = (batch.column(j)[i].as_py() for j in range(7))
+                names, raw, n, sizes, bits, prints, counts = (batch.column(j)[i].as_py() for j in range(2, 9))
+                if names is None:
+                    held = Shard(sizes, bits, prints, counts, n)
+                    continue
                 name, own = np.frombuffer(names, np.int64), np.frombuffer(raw, DIGEST)
-                n_docs = counts_at(own["h"].copy(), own["f"].copy(), sizes, bits, prints, counts, n)
-                yield rows(name[n_docs >= least_docs], own[n_docs >= least_docs])
-
-    met = probes.where("shard >= 0").join(index.hint("merge"), "shard").select(
-        "names", "lines", "n", "sizes", "bits", "prints", "counts")
+                often = held.counts_at(own["h"].copy(), own["f"].copy()) >= least_docs
+                yield rows(name[often], own[often])
+
+    arrays = ("n", "sizes", "bits", "prints", "counts")
+    heads = index.select("shard", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("names"),
+                         F.lit(None).cast("binary").alias("lines"), *arrays)
+    tails = probes.where("shard >= 0").select("shard", F.lit(1).alias("side"), "names", "lines",
+                                              *(F.lit(None).cast(index.schema[a].dataType).alias(a) for a in arrays))
+    met = heads.union(tails).repartition("shard").sortWithinPartitions("shard", "side")
     here = probes.where("shard < 0").select("names", "lines").mapInArrow(known, "r long, h long")
     return here.unionByName(met.mapInArrow(probe, "r long, h long"))
 

@@ -81,6 +81,6 @@ def test_index_counts(spark):
     assert shards == 5 and sum(r["n"] for r in held.values()) == 300 and len(held[0]["counts"]) == 2 * held[0]["n"]
     for h, f, n in rows:
         r = held[h % shards]
-        args = (r["sizes"], r["bits"], r["prints"], r["counts"], r["n"])
-        assert L.counts_at(np.array([h]).view(np.uint64), np.array([f], np.uint32), *args)[0] == min(n, 300)
-        assert L.counts_at(np.array([h]).view(np.uint64), np.array([f ^ 1], np.uint32), *args)[0] == 0
+        held_by = L.Shard(r["sizes"], r["bits"], r["prints"], r["counts"], r["n"])
+        assert held_by.counts_at(np.array([h]).view(np.uint64), np.array([f], np.uint32))[0] == min(n, 300)
+        assert held_by.counts_at(np.array([h]).view(np.uint64), np.array([f ^ 1], np.uint32))[0] == 0
