@@ -51,6 +51,13 @@ def perturbations(
     return s.select(key, "sample", "words", "kept_tokens", "mask")
 
 
+def proximity(kept: Column, words: Column) -> Column:
+    """L3: weight of a sample that keeps ``kept`` of ``words`` distinct words: an exponential kernel on the
+    cosine distance (in percent) of its mask to the intact one."""
+    distance = (F.lit(1.0) - F.sqrt(kept / words)) * 100.0
+    return F.sqrt(F.exp(-(distance * distance) / (KERNEL_WIDTH * KERNEL_WIDTH)))
+
+
 def packed(mask: str) -> Column:
     """A boolean array as longs of 64 flags, the first flag in the lowest bit."""
     m = F.col(mask)

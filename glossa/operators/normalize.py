@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,15 +96,17 @@ def merge_corpora(
         return empty_corpus(spark).withColumns({
             "frame_ord": F.lit(1), "row_key": F.lit(0).cast("bigint"), "row_sub": F.lit(0).cast("bigint")})
 
-    width = max(len(order) for _, order in frames)
+    # Every frame compares by its own typed columns: rows of other frames hold NULL there, and the
+    # position of the frame has decided before.
+    slots = [(i, j, name, df.schema[name].dataType) for i, (df, order) in enumerate(frames) for j, name in enumerate(order)]
     merged = None
     for i, (df, order) in enumerate(frames):
-        keys = [*order, *[None] * (max(width, 2) - len(order))]
+        keys = [*order, *[None] * max(0, 2 - len(order))]
         part = df.select(
             *[F.col(c) for c in CORPUS_COLUMNS],
             F.lit(i + 1).cast("int").alias("frame_ord"),
             *[_as_long(df, k).alias(name) for k, name in zip(keys, ("row_key", "row_sub"))],
-            *[_sortable(df, k).alias(f"_o{j}") for j, k in enumerate(keys)],
+            *[(F.col(name) if own == i else F.lit(None).cast(kind)).alias(f"_o{own}_{j}") for own, j, name, kind in slots],
         )
         merged = part if merged is None else merged.unionByName(part)
     order = ["frame_ord", *[c for c in merged.columns if c.startswith("_o")]]
@@ -119,20 +120,10 @@ def merge_corpora(
 
 
 def _as_long(df: DataFrame, name: str | None) -> Column:
-    number = name and isinstance(df.schema[name].dataType, NumericType)
-    return (F.col(name) if number else F.lit(0)).cast("bigint")
-
-
-def _sortable(df: DataFrame, name: str | None) -> Column:
-    """A string that sorts as the column does: numbers by sign and magnitude, others as they are
-    (timestamps and dates print in order)."""
-    if name is None:
-        return F.lit("")
-    c = F.col(name)
-    if not isinstance(df.schema[name].dataType, NumericType):
-        return F.coalesce(c.cast("string"), F.lit(""))
-    shifted = c.cast("decimal(38,9)") + F.lit(Decimal(10) ** 27)
-    return F.coalesce(F.lpad(shifted.cast("string"), 48, "0"), F.lit(""))
+    """The order column as a bigint, 0 where it is no number, NULL where it does not fit."""
+    if name and isinstance(df.schema[name].dataType, NumericType):
+        return F.col(name).try_cast("bigint")
+    return F.lit(0).cast("bigint")
 
 
 def with_lengths(df: DataFrame, column: str = TEXT) -> DataFrame:

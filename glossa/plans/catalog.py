@@ -97,6 +97,12 @@ def _synth(spark, sf):
     return d.select("doc_id", D.synthetic_text(d).alias("text"))
 
 
+def clean_coerced(spark, sf):
+    """Numbers and NULLs become text under both policies."""
+    number = F.when(F.pmod("doc_id", F.lit(7)) != 0, F.col("n_chars"))
+    return D.documents(spark, sf).select("doc_id", C.coerce_text(number).alias("kept"), C.coerce_text(number, "None").alias("cleaned"))
+
+
 def clean_url(spark, sf):
     return _synth(spark, sf).select("doc_id", C.replace_urls("text").alias("cleaned"))
 
@@ -389,6 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_text_filter": null_text_filter,
     "merge_first_wins": merge_first_wins,
     "merge_keep_all": merge_keep_all,
+    "clean_coerced": clean_coerced,
     "clean_url": clean_url,
     "clean_mention": clean_mention,
     "clean_hashtag": clean_hashtag,

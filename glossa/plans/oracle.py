@@ -430,6 +430,13 @@ SELECT count_if(split = 'test') AS n_test, count_if(split = 'test' AND label = 0
     s["length_sketch_quantiles"] = f"""WITH {LABELLED} SELECT label, metric, count(text) AS n, q, true AS within_error
 FROM labelled, (VALUES ('n_tokens'), ('n_chars')) m(metric), (VALUES (0.25::DOUBLE), (0.5), (0.75)) p(q)
 GROUP BY label, metric, q HAVING count(text) > 0"""
+    s["family_checks"] = f"""{parts} SELECT family, count_if(split = 'test') AS n_scored, true AS in_unit_interval, true AS scores_differ,
+  true AS classes_weigh_alike FROM va, (VALUES ('naive_bayes'), ('linear_svc'), ('dense_lr')) f(family) GROUP BY family"""
+    s["perturbation_checks"] = f"""WITH {LABELLED}, t AS (SELECT doc_id, cleaned FROM {clean_rows('labelled', 'doc_id', 'text')})
+SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(cleaned, {q(TERM_PATTERN)}))) AS BIGINT) AS n_words, 8::BIGINT AS n_samples,
+  true AS intact_is_whole, true AS others_drop FROM t"""
+    s["clean_coerced"] = """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars AS VARCHAR) END AS kept,
+  coalesce(CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars AS VARCHAR) END, 'None') AS cleaned FROM documents"""
     emptied = "(SELECT doc_id, CASE WHEN doc_id % 20 <> 3 THEN text END AS text FROM documents)"
     s["text_batches_agree"] = f"""WITH src AS {emptied}, t AS (SELECT doc_id, cleaned FROM {clean_rows('src', 'doc_id', 'text')})
 SELECT doc_id, CAST(CASE WHEN cleaned IS NULL THEN 0 ELSE least(len(regexp_extract_all(cleaned, {q(TERM_PATTERN)})), 128) END AS BIGINT) AS n_tokens, true AS agrees FROM t"""

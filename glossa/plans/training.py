@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glossa.config import settings
 from glossa.functions import metrics as M
+from glossa.operators import explain as X
 from glossa.operators import features as FE
 from glossa.operators import models as MO
 from glossa.operators import selection as SE
@@ -95,4 +96,36 @@ def text_batches_agree(spark: SparkSession, sf: str) -> DataFrame:
     return scored.join(own, "doc_id").select("doc_id", "n_tokens", (F.abs(F.col("own") - F.col("probability")) < 1e-9).alias("agrees"))
 
 
-QUERIES = {"tuned_by_macro_f1": tuned_by_macro_f1, "early_stopping": early_stopping, "text_batches_agree": text_batches_agree}
+def family_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every family on the training rows, balanced by class: rows scored, scores in [0, 1], and
+    whether the classes weigh the same in the fit."""
+    train, validation = _parts(spark, sf)
+    fs = MO.fit_features(train)
+    vec, held = (cut_lineage(MO.vectorize(p, fs, carry=["label"])) for p in (train, validation))
+    sides = MO.weighted(vec, train).groupBy("label").agg(F.sum("weight").alias("w")).agg(
+        (F.max("w") - F.min("w") < 1e-6).alias("classes_weigh_alike"))
+    found = None
+    for family in MO.ESTIMATORS:
+        scored = MO.ml_positive_score(MO.fit_other(vec, family), held, family)
+        row = scored.agg(F.lit(family).alias("family"), F.count("*").alias("n_scored"),
+                         F.every(F.col("probability_").between(0.0, 1.0)).alias("in_unit_interval"),
+                         (F.stddev("probability_") > 0).alias("scores_differ"))
+        found = row if found is None else found.unionByName(row)
+    return found.crossJoin(sides)
+
+
+def perturbation_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """L1 + L3 of all labelled documents: distinct words, samples, whether the intact sample keeps every
+    word at weight 1, and whether the others drop at least one at a lower weight."""
+    docs = D.labelled(spark, sf).select("doc_id", "text")
+    samples = X.perturbations(docs, num_samples=8).select(
+        "doc_id", "sample", F.size("words").alias("d"), F.size(F.filter("mask", lambda b: b)).alias("kept"))
+    weight = F.when(F.col("d") > 0, X.proximity(F.col("kept"), F.col("d")))
+    intact, other = F.col("sample") == 0, (F.col("sample") > 0) & (F.col("d") > 0)
+    return samples.withColumn("w", weight).groupBy("doc_id").agg(
+        F.max("d").cast("bigint").alias("n_words"), F.count("*").alias("n_samples"),
+        F.every(~intact | (F.col("d") == 0) | ((F.col("kept") == F.col("d")) & (F.col("w") == 1.0))).alias("intact_is_whole"),
+        F.every(~other | ((F.col("kept") < F.col("d")) & (F.col("w") < 1.0))).alias("others_drop"))
+
+
+QUERIES = {"family_checks": family_checks, "perturbation_checks": perturbation_checks, "tuned_by_macro_f1": tuned_by_macro_f1, "early_stopping": early_stopping, "text_batches_agree": text_batches_agree}

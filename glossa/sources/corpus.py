@@ -17,6 +17,8 @@ from glossa.operators.validate import check_columns, check_domain, row_violation
 from glossa.schemas import CURATION, CURATION_COLUMNS
 from glossa.session import materialized
 
+FILE_ROWS = 100_000
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -72,14 +74,15 @@ def append_labels(df: DataFrame, path: str) -> int:
     """Append validated curation rows to a CSV folder (header per file).
 
     The batch is computed once, validated as a whole and appended as validated; any
-    violation raises and nothing is written.  Returns the number of rows appended."""
+    violation raises and nothing is written.  Returns the number of rows appended.  Files hold at most
+    ``FILE_ROWS`` rows: texts may hold line breaks, so one task reads a file."""
     check_columns(df, CURATION_COLUMNS)
     out = materialized(df.select(*[F.col(f.name).cast(f.dataType) for f in CURATION.fields]), "append")
     checked = out.agg(F.count(F.lit(1)).alias("n"), F.count(row_violation()).alias("bad")).head()
     if checked["bad"]:
         raise ValueError(f"{checked['bad']} of {checked['n']} rows break the curation rules; nothing was appended")
     (out.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(path))
+     .option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", FILE_ROWS).csv(path))
     return checked["n"]
 
 

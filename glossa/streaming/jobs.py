@@ -12,20 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators import models as MO
+from glossa.operators.scorers import LinearScorer, Scorer
 from glossa.operators.validate import payload_reason
 from glossa.session import materialized
 from glossa.sources.corpus import path_exists
 
 
-def score_batch(batch: DataFrame, model: MO.LinearTextModel, out_path: str, quarantine_path: str,
+def score_batch(batch: DataFrame, model: MO.LinearTextModel | Scorer, out_path: str, quarantine_path: str,
                 key: str = "doc_id", text: str = "text", epoch: int = 0) -> None:
-    """R1 micro-batch body: V4 checks, score valid rows, quarantine the rest.
+    """R1 micro-batch body: V4 checks, score valid rows with any scorer, quarantine the rest.
 
     The same code scores a static table.  The source is read once."""
     tagged = materialized(batch.select(key, text, payload_reason(text).alias("reason")), "batch")
     valid = tagged.where(F.col("reason").isNull()).select(key, text)
     bad = tagged.where(F.col("reason").isNotNull()).select(key, "reason")
-    scored = MO.with_decision(MO.score(valid, model, key, text), model)
+    scorer = LinearScorer(model) if isinstance(model, MO.LinearTextModel) else model
+    scored = MO.with_decision(scorer.score(valid, text, [key]), scorer)
     scored.write.mode("overwrite").parquet(f"{out_path}/batch={epoch}")
     bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={epoch}")
 
@@ -38,7 +40,7 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def stream_score(
-    spark: SparkSession, source: DataFrame, model: MO.LinearTextModel, out_path: str,
+    spark: SparkSession, source: DataFrame, model: MO.LinearTextModel | Scorer, out_path: str,
     quarantine_path: str, checkpoint: str, key: str = "doc_id", text: str = "text",
     available_now: bool = True,
 ):

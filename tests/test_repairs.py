@@ -116,3 +116,38 @@ def test_replayed_batch_is_scored_once(spark, model, tmp_path):
     reasons = {(r["doc_id"], r["reason"]) for r in read_batches(spark, bad, "doc_id long, reason string").collect()}
     assert reasons == {(2, "too_short"), (3, "too_long"), (4, "missing")}
     assert read_batches(spark, str(tmp_path / "none"), "doc_id long").count() == 0
+
+
+def test_merge_orders_by_typed_keys(spark):
+    """Doubles that nine decimals do not tell apart, and numbers of thirty digits."""
+    small = spark.createDataFrame([("t", 0, "s", "r", 2e-12), ("t", 1, "s", "r", 1e-12), ("u", 0, "s", "r", None), ("u", 1, "s", "r", 0.0)],
+                                  "text string, label long, source string, language_register string, o double")
+    big = spark.createDataFrame([("v", 0, "s", "r", "9" * 30), ("v", 1, "s", "r", "8" * 30)],
+                                "text string, label long, source string, language_register string, o string")
+    big = big.withColumn("o", F.col("o").cast("decimal(38,0)"))
+    got = {r["text"]: r for r in merge_corpora([(small, ["o"]), (big, ["o"])]).collect()}
+    assert (got["t"]["label"], got["u"]["label"], got["v"]["label"]) == (1, 0, 1)
+    assert got["v"]["row_key"] is None and got["v"]["frame_ord"] == 2
+    dates = small.select("text", "label", "source", "language_register", F.when(F.col("label") == 0, F.lit("2020-02-01"))
+                         .otherwise(F.lit("2019-12-31")).cast("date").alias("o"))
+    assert {r["text"]: r["label"] for r in merge_corpora([(dates, ["o"])]).collect()} == {"t": 1, "u": 1}
+
+
+def test_messages_name_a_bounded_number_of_values(spark, monkeypatch):
+    monkeypatch.setattr(V, "NAMED", 50)
+    df = spark.range(1000).select((F.col("id") + 10).alias("label"), F.lit("en-IN").alias("register"))
+    (field, values, n), = V.domain_problems(df).outside
+    assert field == "label" and n == 1000 and 5 <= len(values) <= 60 and list(values) == sorted(values)
+    with pytest.raises(ValueError, match=r"label holds 1000 value\(s\) outside its domain: .* and \d+ more"):
+        V.check_domain(df)
+
+
+def test_streams_take_any_scorer(spark, tmp_path):
+    from glossa.operators.scorers import ConstantScorer
+
+    out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
+    batch = spark.createDataFrame([(1, "fine"), (2, "")], "doc_id long, text string")
+    score_batch(batch, ConstantScorer(0.7), out, bad, epoch=0)
+    rows = spark.read.parquet(out).collect()
+    assert [(r["doc_id"], r["probability"], r["decision"]) for r in rows] == [(1, 0.7, "SARCASTIC")]
+    assert spark.read.parquet(bad).count() == 1

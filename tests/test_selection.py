@@ -83,19 +83,19 @@ def test_patience_rule(history, patience, best, over):
 def test_epochs_stop_and_return_the_best(spark, parts):
     train, held = parts
     path = scratch_path(spark, "epochs")
-    run = SE.fit_epochs(train, held, path, SE.EpochSettings(epochs=6), min_df=1)
-    assert len(run.history) == 6 or run.stopped_early
+    run = SE.fit_epochs(train, held, path, SE.EpochSettings(epochs=4, batches=2), min_df=1)
+    assert len(run.history) == 4 or run.stopped_early
     assert run.history[run.best_epoch - 1] == max(run.history) > 0.8
     scored = MO.score(held, run.model, carry=["label"]).withColumn("pred", MO.predict_class("probability"))
     assert EV.report(scored).first()["macro_f1"] == pytest.approx(max(run.history), abs=1e-12)
     with pytest.raises(ValueError, match="other settings"):
-        SE.fit_epochs(train, held, path, SE.EpochSettings(epochs=6, learning_rate=0.1))
+        SE.fit_epochs(train, held, path, SE.EpochSettings(epochs=4, batches=2, learning_rate=0.1))
 
 
 def test_restart_after_a_crash_gives_the_same_model(spark, parts, monkeypatch):
     """A run that dies inside an epoch goes on after the last whole one."""
     train, held = parts
-    how = SE.EpochSettings(epochs=4, patience=9)
+    how = SE.EpochSettings(epochs=3, patience=9, batches=2)
     whole = SE.fit_epochs(train, held, scratch_path(spark, "epochs"), how, min_df=1)
     path, real, steps = scratch_path(spark, "epochs"), SE.gradient, []
 

@@ -103,3 +103,13 @@ def test_checkpoint_root(spark, monkeypatch):
         checkpoint_root(Session())
     Context.getCheckpointDir = lambda self: "/shared/ckpt"
     assert checkpoint_root(Session()) == "/shared/ckpt"
+
+
+def test_appended_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Rows with line breaks come back whole from several small files."""
+    monkeypatch.setattr(S, "FILE_ROWS", 4)
+    path = str(tmp_path / "curated")
+    rows = [(f"line {i}\nnext, \"quoted\"", i % 2, "en-IN", "why") for i in range(11)]
+    assert S.append_labels(spark.createDataFrame(rows, COLS).coalesce(1), path) == 11
+    assert len(spark.read.text(path).select("_metadata.file_path").distinct().collect()) == 3
+    assert sorted(tuple(r) for r in S.read_curated_strict(spark, path).collect()) == sorted(rows)
