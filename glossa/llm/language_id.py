@@ -7,13 +7,14 @@ first order that has any are averaged.  A text gets the language with the
 largest sum over its words (ties: the first in alphabetical order).
 
 Words are runs of letters of the lower-cased text (``str.isalpha``).  The model
-is fitted on at most ``per_language`` training rows per language (a documented
-bound, chosen by a hash of the text), counted in Spark over whole texts; n-gram
-counts come from the word counts.  Words seen fewer than ``min_count`` times in
-that sample are left to the n-grams.
+is fitted on about ``per_language`` distinct training texts per language (a documented
+bound, chosen by a hash of the text; copies count once).  Words and the n-grams of the
+counted words are counted in Spark; only those seen at least ``min_count`` times in the
+sample come to the driver.  Rarer words are left to the n-grams.
 
 A null text, or one without a letter, gets ``und`` and score 0, as does every text
-when nothing could be learned.  Rows with a null language train nothing.
+when nothing could be learned.  Rows with a null language train nothing; a language
+whose texts hold no letter is not learned.
 Repeated rows are predicted alike.  Empty tables give empty results.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels as K
+from glossa.llm.repeats import settled
 
 PER_LANGUAGE = 3_000
 MIN_COUNT = 2
@@ -120,32 +122,28 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), n.tolist())], score
 
 
-def _table(keys: np.ndarray, lang: np.ndarray, count: np.ndarray, langs: int,
-           least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log frequencies by language of the keys counted at least ``least`` times."""
-    names, which = np.unique(keys, return_inverse=True)
-    counts = np.zeros((len(names), langs))
-    np.add.at(counts, (which, lang), count)
-    kept = counts.sum(axis=1) >= least
-    logs = np.log((counts[kept] + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(names))))
-    return names[kept], logs.astype(np.float32)
+def _table(names: np.ndarray, which: np.ndarray, lang: np.ndarray, count: np.ndarray, totals: np.ndarray,
+           distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log frequencies by language of ``names``, from (which name, lang, count) and the sums over
+    all ``distinct`` names."""
+    counts = np.zeros((len(names), len(totals)))
+    counts[which, lang] = count
+    return names, np.log((counts + 0.5) / (totals + 0.5 * max(1, distinct))).astype(np.float32)
 
 
 def _sample(train: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
-    """At most about ``per_language`` rows of each language, chosen by a hash of their texts."""
-    sizes = {r["_lang"]: r["n"] for r in train.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    """About ``per_language`` distinct texts of each language, chosen by a hash of the text."""
+    marked = train.withColumn("_h", F.xxhash64("_text"))
+    sizes = {r["_lang"]: r["count"] for r in marked.select("_lang", "_h").distinct().groupBy("_lang").count().collect()}
     share = F.lit(0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("_lang") == lang, F.lit(int(min(1.0, per_language / n) * (1 << 20)))).otherwise(share)
-    return train.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share), sorted(sizes)
+    chosen = marked.where(F.pmod("_h", F.lit(1 << 20)) < share)
+    return chosen.groupBy("_lang", "_h").agg(F.any_value("_text").alias("_text")).select("_text", "_lang"), sorted(sizes)
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE,
-        min_count: int = MIN_COUNT) -> Model:
-    """Count words by language in Spark, then build the bounded tables."""
-    own = train.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    own, langs = _sample(own.where("_lang is not null and _text is not null"), per_language)
-
+def _counted_words(texts: DataFrame, langs: list[str]) -> DataFrame:
+    """(word, lang, n): ``lang`` is the place in ``langs``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, text=0, max_bytes=4 * K.SLICE_BYTES):
             data, s, e, rows = letter_words(batch.column(0).to_pylist())
@@ -159,20 +157,51 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_language:
                 [pa.array(text, pa.string()), pa.array(code[K.row_of(rows)[first]].astype(np.int32)), pa.array(n)],
                 names=["word", "lang", "n"])
 
-    counts = own.mapInArrow(count, "word string, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    got = counts.toArrow() if langs else pa.table({"word": pa.array([], pa.string()), "lang": [], "n": []})
-    found = got.column("word").to_pylist()
-    size = max(1, len(langs))
-    at = np.concatenate([[0], np.cumsum([len(w) for w in found], dtype=np.int64)]).astype(np.int64)
-    data = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = got.column("lang").to_numpy().astype(np.int64)
-    n = got.column("n").to_numpy().astype(np.float64)
-    chars, edged = _edged(data, at[:-1], at[1:])
-    grams = {}
-    for order in ORDERS:
-        h, word = _grams(chars, edged, order)
-        grams[order] = _table(h, code[word], n[word], size, min_count)
-    return Model(langs, _table(K.span_hashes(data, at[:-1], at[1:]), code, n, size, min_count), grams)
+    found = texts.mapInArrow(count, "word string, lang int, n long")
+    return found.groupBy("word", "lang").agg(F.sum("n").alias("n"))
+
+
+def _counted_names(words: DataFrame) -> DataFrame:
+    """(size, h, lang, n): hashed words (size 0) and n-grams of every size, with their counts."""
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, text=0, max_bytes=K.SLICE_BYTES >> 2):
+            found = batch.column(0).to_pylist()
+            at = np.concatenate([[0], np.cumsum([len(w) for w in found], dtype=np.int64)]).astype(np.int64)
+            data = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32)
+            lang, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            chars, edged = _edged(data, at[:-1], at[1:])
+            for size in (0, *ORDERS):
+                h, word = _grams(chars, edged, size) if size else (K.span_hashes(data, at[:-1], at[1:]), np.arange(len(found)))
+                key = h ^ K.mix(lang[word].astype(K.U))
+                _, first, which = np.unique(key, return_index=True, return_inverse=True)
+                sums = np.bincount(which, weights=n[word], minlength=len(first)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(sums), size, np.int32)), K.as_long(h[first]), pa.array(lang[word[first]]), pa.array(sums)],
+                    names=["size", "h", "lang", "n"])
+
+    return words.mapInArrow(names, "size int, h long, lang int, n long").groupBy("size", "h", "lang").agg(F.sum("n").alias("n"))
+
+
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE,
+        min_count: int = MIN_COUNT) -> Model:
+    """Count words and n-grams by language in Spark, then build the bounded tables."""
+    own = train.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
+    own, langs = _sample(own.where("_lang is not null and _text is not null"), per_language)
+    counts = settled(_counted_names(_counted_words(own, langs)), "language-names")
+    sums = counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()  # sizes x languages
+    present = sorted({r["lang"] for r in sums})
+    by_name = counts.groupBy("size", "h").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))
+    distinct = {r["size"]: r["count"] for r in by_name.groupBy("size").count().collect()}
+    kept = by_name.where(F.col("total") >= min_count).select("size", "h", F.explode("each").alias("e")).select(
+        "size", "h", "e.lang", "e.n").toArrow()
+    size, code, n = (kept.column(c).to_numpy() for c in ("size", "lang", "n"))
+    h = kept.column("h").to_numpy().astype(np.int64).view(K.U)
+    tables = {}
+    for s in (0, *ORDERS):
+        totals = np.array([sum(r["n"] for r in sums if r["size"] == s and r["lang"] == p) for p in present], float)
+        names, which = np.unique(h[size == s], return_inverse=True)
+        tables[s] = _table(names, which, np.searchsorted(present, code[size == s]), n[size == s], totals, distinct.get(s, 0))
+    return Model([langs[p] for p in present], tables.pop(0), tables)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
