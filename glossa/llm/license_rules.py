@@ -90,10 +90,45 @@ SINGLE = (
     ("see-license", 4, "licen", "see [the] licen[sc]e [file]"),
     ("proprietary", 3, "proprietary", "proprietary [and] [confidential]"),
 )
+# Sentences of licence texts (label, priority, keyword, pattern).
+BODIES = (
+    ("bsd", 1, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-source-clause", 2, "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-binary-clause", 2, "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 2, "endorse", "may be used to endorse or promote products derived from this software without specific prior "
+                                   "written permission"),
+    ("bsd-4-clause", 2, "advertising", "all advertising materials mentioning features or use of this software must display the "
+                                       "following acknowledge?ment"),
+    ("mit", 1, "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+                         "associated documentation files"),
+    ("isc", 1, "hereby", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is "
+                         "hereby granted"),
+    ("zlib", 2, "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being "
+                                  "the original software"),
+    ("apache", 2, "licen", "you may not use this file except in compliance with the licen[sc]e"),
+    ("apache", 3, "licen", "software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("patent-grant", 2, "licen", "royalty free irrevocable [except] [as] [stated] [in] [this] [section] patent licen[sc]e"),
+    ("copyright-grant", 2, "licen", "royalty free irrevocable copyright licen[sc]e"),
+    ("gpl", 1, "licen", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+                        "public licen[sc]e"),
+    ("lgpl", 1, "licen", "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+                         "(lesser|library) general public licen[sc]e"),
+    ("or-later", 2, "licen", "either version [0-9]+ of the licen[sc]e or at your option any later version"),
+    ("verbatim-copies", 2, "licen", "everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document"),
+    ("mpl", 1, "licen", "this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("unlicense", 1, "domain", "this is free and unencumbered software released into the public domain"),
+    ("notice-retention", 2, "copyright", "the above copyright notice and this permission notice shall be included in all copies or "
+                                         "substantial portions of the software"),
+    ("warranty-disclaimer", 2, "warranties", "any express or implied warranties including but not limited to the implied warranties "
+                                             "of merchantability"),
+    ("warranty-disclaimer", 2, "warranty", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("liability-disclaimer", 2, "liable", "in no event shall the authors or copyright holders be liable for any claim damages or "
+                                          "other liability"),
+    ("liability-disclaimer", 2, "liable", "in no event shall the copyright (holder|owner) or contributors be liable"),
+    ("liability-disclaimer", 2, "liable", "in no event will the authors be held liable for any damages arising from the use of this "
+                                          "software"),
+)
 NOTICE = "licen[sc]ed|released|distributed|available|published|provided under [the] [terms] [of] [the]"
-#: The gate of the SQL oracle, which lacks the words of the Creative Commons rules; the scan uses ``triggers``.
-TRIGGERS = ("licen", "rights reserved", "reserved", "cc", "gpl", "copyright", "copyleft", "domain", "hereby",
-            "warranty", "proprietary", "clause")
 
 
 @dataclass(frozen=True)
@@ -154,7 +189,7 @@ def rules() -> list[Rule]:
             found.append((f"cc-{code}-{dotted}", 2, "cc", f"cc {code.replace('-', ' ')} {v}"))
         found.append((f"cc-{code}", 2, "creative", f"creative commons {words}"))
         found.append((f"cc-{code}", 3, "cc", f"cc {code.replace('-', ' ')}"))
-    found += SINGLE
+    found += SINGLE + BODIES
     base = [Rule(i, label, 0, phrase.split(" ")[-1] if "cc" not in phrase else "cc", phrase, True)
             for i, (phrase, label) in enumerate(BASE)]
     rest = sorted(found, key=lambda r: r[1])  # stable: strongest first, otherwise as written

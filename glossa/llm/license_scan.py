@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.license_rules import TRIGGERS, compiled, rules, triggers
+from glossa.llm.license_rules import compiled, rules, triggers
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -114,20 +114,20 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def oracle() -> str:
-    """The same result in DuckDB SQL, with positions from the normalised text."""
+    """The same result in DuckDB SQL, every rule tried on every text, with positions from the
+    normalised text."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ",\n".join(f"({r.order}, {quoted(r.label)}, {r.priority}, {quoted(compiled(r.pattern))}, {str(r.base).lower()})"
                         for r in rules())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     levels = " ".join(f"WHEN {p} THEN max(CASE WHEN priority <= {p} AND NOT base THEN last END) OVER w" for p in LEVELS)
-    gate = "|".join(t.replace("cc", " cc ") if t == "cc" else t.replace(" ", "  ") for t in TRIGGERS)
     return f"""
 WITH rules(rule, label, priority, regex, base) AS (VALUES {values}),
 d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id,
         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{word}') AS ws FROM documents),
 n AS (SELECT r, doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, '  ') || ' ' AS t FROM d),
 hit AS (SELECT r, rule, label, priority, base, regexp_extract_all(t, regex) AS hits, string_split_regex(t, regex) AS gaps
-        FROM (SELECT * FROM n WHERE regexp_matches(t, '{gate}')) n JOIN rules ON regexp_matches(t, regex)),
+        FROM n JOIN rules ON regexp_matches(t, regex)),
 pos AS (SELECT r, rule, label, priority, base, unnest(range(len(hits))) AS i, hits, gaps FROM hit),
 place AS (SELECT r, rule, label, priority, base, hits[i + 1] AS h,
         array_to_string(gaps[1:i + 1], '') || array_to_string(hits[1:i], '') AS before FROM pos),
