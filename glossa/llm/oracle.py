@@ -50,6 +50,20 @@ kept AS (SELECT r, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS t FROM word A
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
   sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
 
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, length(h) // 2 AS n FROM d),
+win AS (SELECT r, i, md5(substr(h, 2 * i - 1, 400)) AS k FROM (SELECT * FROM n WHERE n >= 200), unnest(range(1, n - 198)) AS t(i)),
+hit AS (SELECT r, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+mark AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -201) + 200 AS fresh FROM hit),
+run AS (SELECT r, min(i) AS a, max(i) + 199 AS b FROM (SELECT r, i, count_if(fresh) OVER (PARTITION BY r ORDER BY i) AS island FROM mark)
+        GROUP BY r, island),
+piece AS (SELECT r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1,
+                 2 * (a - 1 - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0))) AS t FROM run JOIN n USING (r)),
+cut AS (SELECT r, count(*) AS n_spans, sum(b - a + 1) AS n_removed, max(b) AS last, string_agg(t, '' ORDER BY a) AS kept FROM piece GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN cut.r IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM n LEFT JOIN cut USING (r)"""
+
 LINES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
 l AS (SELECT r, i, w[i] AS t, translate(regexp_replace(regexp_replace(w[i], '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''),
@@ -108,6 +122,7 @@ FROM last JOIN c{rounds} c ON c.c = cluster"""
 ORACLE = {
     "op1_decontamination": DECONTAMINATION,
     "op2_license_scan": license_scan.oracle(),
+    "op5_suffix_dedup": REPEATS,
     "op6_ngram_join": JACCARD,
     "op7_recompression": PASSAGES,
     "op11_spelling_variants": SPELLING,
