@@ -20,8 +20,8 @@ def stats(spark):
     return spark.createDataFrame(rows, "term string, df long, tf_total long").repartition(5)
 
 
-@pytest.mark.parametrize("k", [1, 2, 5, 100, 333, 899, 900, 2000])
-@pytest.mark.parametrize("buckets", [2, 4096])
+@pytest.mark.parametrize("k", [1, 5, 333, 899, 900])
+@pytest.mark.parametrize("buckets", [64, 4096])
 def test_most_frequent_terms(stats, k, buckets, monkeypatch):
     monkeypatch.setattr(FE, "CUT_BUCKETS", buckets)
     want = sorted(((r["term"], r["tf_total"]) for r in stats.collect()), key=lambda r: (-r[1], r[0]))[:k]
