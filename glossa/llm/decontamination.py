@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels as K
+from glossa.llm.repeats import settled
 from glossa.session import cut_lineage
 
 WINDOW, GRAM = 13, 6
@@ -111,16 +113,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, row long, n_words long, n_hit long, item_ids array<string>, first array<int>, " \
              f"last array<int>"
-    own = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
+    own = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"), F.lit(0).cast("long").alias("row"))
     sc = docs.sparkSession.sparkContext
+    blocks = _blocks(benchmark, item, item_text, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        # each block is a job of its own: rows are numbered and written once, so that all name them alike
+        own = settled(own.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
 
     def one(items: list[tuple[str, str]]) -> DataFrame:
         block = sc.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            row, ready = TaskContext.get().partitionId() << 40, Block(block.value)
+            ready = Block(block.value)
             for batch in K.slices(batches):
                 n, found = ready.hits(batch.column(1))
                 first, last, hit, ids = [], [], [], []
@@ -131,19 +136,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     hit.append(int(K.covered(first[-1], last[-1], int(n[i])).sum()) if edges else 0)
                     ids.append(sorted(set().union(*spans.values())) if edges else [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.arange(row, row + len(n))), pa.array(n), pa.array(hit, pa.int64()),
+                    [batch.column(0), batch.column(2), pa.array(n), pa.array(hit, pa.int64()),
                      pa.array(ids, pa.list_(pa.string())), pa.array(first, pa.list_(pa.int32())),
                      pa.array(last, pa.list_(pa.int32()))],
                     names=[key, "row", "n_words", "n_hit", "item_ids", "first", "last"])
-                row += len(n)
 
         return own.mapInArrow(scan, schema)
 
-    parts = [one(items) for items in _blocks(benchmark, item, item_text, block_words)]
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    # each block is its own job over the same scan, so ``row`` names the same document row in all
-    parts = [cut_lineage(part) for part in parts]
+    if second is None:
+        return one(first).drop("row")
+    parts = [cut_lineage(one(items)) for items in chain([first, second], blocks)]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

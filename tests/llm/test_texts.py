@@ -4,7 +4,9 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.llm import chunk_prints, decontamination, kernels, license_scan, packing, token_counts
 from glossa.llm.license_rules import required, rules, triggers
@@ -59,6 +61,15 @@ def test_contamination(spark, edge, edge_texts, items, block_words):
         {d: sorted(rs) for d, rs in want.items()}
 
 
+def test_contamination_of_rows_in_no_fixed_order(spark, edge, edge_texts, items):
+    """Several blocks, over rows that every job deals anew: hits stay with their rows."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    moving = edge.repartition(5, F.rand())
+    got = decontamination.contamination(moving, bench, block_words=60).collect()
+    want = sorted((d, *e) for (d, _), e in zip(edge_texts, brute_contamination(edge_texts, items)))
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["item_ids"])) for r in got) == want
+
+
 def test_contamination_empty(spark, edge, empty, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["n_hit"] for r in decontamination.contamination(edge, none).collect()} == {0}
@@ -73,20 +84,12 @@ LICENSES = [
     (7, None), (8, ""), (9, "cc cc by by general public public license"), (10, "released under CC BY-SA 4.0"),
     (11, "Copyright (c) 2020 Someone All rights reserved"), (11, "Copyright (c) 2020 Someone All rights reserved"),
     (12, "word " * 5000 + "cc by " * 300), (13, "SPDX-License-Identifier: MPL-2.0"),
+    (14, "This work is under Creative Commons Attribution-ShareAlike 4.0 International."), (15, "the FreeBSD License applies"),
 ]
 
 
 def test_license_scan_against_sql(spark, edge_texts):
-    duckdb = pytest.importorskip("duckdb")
-    import pandas as pd
-
-    texts = LICENSES + [(1000 + d, t) for d, t in edge_texts]
-    con = duckdb.connect()
-    con.register("documents", pd.DataFrame(texts, columns=["doc_id", "text"]).astype({"text": "object"}))
-    rel = con.sql(license_scan.oracle())
-    got = license_scan.license_scan(build(spark, texts))
-    key = lambda r: tuple((v is None, v) for v in r)
-    assert sorted((tuple(r[c] for c in rel.columns) for r in got.collect()), key=key) == sorted(rel.fetchall(), key=key)
+    against_sql(spark, LICENSES + [(1000 + d, t) for d, t in edge_texts])
 
 
 def test_license_scan_values(spark):
@@ -109,36 +112,52 @@ CREATIVE = [
 ]
 
 
-def ungated(monkeypatch):
-    """The oracle with every rule tried on every text."""
-    monkeypatch.setattr(license_scan, "TRIGGERS", ("",))
-    return license_scan.oracle()
-
-
-def against_ungated(spark, texts, monkeypatch):
+def against_sql(spark, texts):
     duckdb = pytest.importorskip("duckdb")
     import pandas as pd
 
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(texts, columns=["doc_id", "text"]).astype({"text": "object"}))
     got = license_scan.license_scan(build(spark, texts)).collect()
-    rel = con.sql(ungated(monkeypatch))
+    rel = con.sql(license_scan.oracle())
     key = lambda r: tuple((v is None, v) for v in r)
     assert sorted((tuple(r[c] for c in rel.columns) for r in got), key=key) == sorted(rel.fetchall(), key=key)
     return {r["doc_id"]: r for r in got}
 
 
-def test_license_scan_finds_creative_commons(spark, edge_texts, monkeypatch):
-    got = against_ungated(spark, CREATIVE + [(1000 + d, t) for d, t in LICENSES + edge_texts], monkeypatch)
+def test_license_scan_finds_creative_commons(spark, edge_texts):
+    got = against_sql(spark, CREATIVE + [(1000 + d, t) for d, t in LICENSES + edge_texts])
     assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["cc-by-sa-4.0", "cc-by", "cc-by-nc-nd-3.0", ""]
     assert got[1]["score"] > 0
 
 
-def test_license_scan_finds_freebsd(spark, monkeypatch):
-    got = against_ungated(spark, [(1, "Under the FreeBSD License"), (2, "freebsd license of bsd"), (3, "freebsd")], monkeypatch)
+def test_license_scan_finds_freebsd(spark):
+    got = against_sql(spark, [(1, "Under the FreeBSD License"), (2, "freebsd license of bsd"), (3, "freebsd")])
     assert [got[i]["labels"] for i in (1, 2, 3)] == ["bsd-2-clause", "bsd-2-clause", ""]
 
 
+BODIES = [
+    (1, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that: 1. "
+        "Redistributions of source code must retain the above copyright notice.", "bsd,bsd-source-clause"),
+    (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+        "files (the \"Software\")", "mit"),
+    (3, "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY", "liability-disclaimer,warranty-disclaimer"),
+    (4, "a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license",
+     "patent-grant"),
+    (5, "under the License; either version 2 of the License, or (at your option) any later version.", "or-later"),
+    (6, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License", "gpl,lgpl"),
+    (7, "This is free and unencumbered software released into the public domain.", "unlicense"),
+    (8, "You may be held liable. Redistribution of warranties and advertising, without licence.", ""),
+]
+
+
+def test_license_scan_finds_licence_texts(spark):
+    got = against_sql(spark, [(i, t) for i, t, _ in BODIES])
+    assert {i: got[i]["labels"] for i, _, _ in BODIES} == {i: labels for i, _, labels in BODIES}
+
+
 def test_every_rule_passes_its_own_gate():
     for r in rules():
         words = required(r.pattern)
@@ -276,3 +295,47 @@ def test_token_operators_on_empty_tables(empty):
     assert token_counts.token_counts(empty, tokenizer_path()).count() == 0
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
     assert CLASH
+
+
+def plain_chunks(raw):
+    """Content-defined chunks, byte by byte: a boundary after at least LEAST bytes where the hash of
+    the last 32 bytes has enough leading zeros, more of them up to NORMAL bytes than after."""
+    table = [int(x) for x in chunk_prints._GEAR]
+    out, start = [], 0
+    while start < len(raw):
+        end = min(len(raw), start + chunk_prints.MOST)
+        for size in range(chunk_prints.LEAST, end - start + 1):
+            h = sum(table[b] << age for age, b in enumerate(reversed(raw[start + size - 32:start + size]))) & 0xFFFFFFFF
+            bits = chunk_prints.STRICT_BITS if size <= chunk_prints.NORMAL else chunk_prints.LOOSE_BITS
+            if h >> (32 - bits) == 0:
+                end = start + size
+                break
+        out.append(raw[start:end])
+        start = end
+    return out
+
+
+def test_fingerprints_against_plain_chunking(spark, edge, edge_texts):
+    """Boundaries, digest sets and both likenesses, for every text and its successor."""
+    raws = [(t or "").encode() for _, t in edge_texts]
+    s, e = chunk_prints.chunks(*kernels.flat(pa.array([(t or "") for _, t in edge_texts], pa.large_string())))
+    flat = b"".join(raws)
+    assert [flat[a:b] for a, b in zip(s.tolist(), e.tolist())] == [c for raw in raws for c in plain_chunks(raw)]
+
+    def likeness(own, other):
+        mine, theirs = set(plain_chunks(own.encode())), set(plain_chunks(other.encode()))
+        if not mine:
+            return 0.0 if theirs else 1.0
+        return sum(map(len, mine & theirs)) / sum(map(len, mine))
+
+    unique = sorted(dict(edge_texts).items())
+    docs = build(spark, unique)
+    got = {r["doc_id"]: r for r in chunk_prints.edit_likeness(docs).collect()}
+    for i, (d, t) in enumerate(unique):
+        own, after = t or "", unique[(i + 1) % len(unique)][1] or ""
+        n = len(own) // 4
+        edited = own[:len(own) - n] + after[:n]
+        assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[d]["n_chars"] == len(own)
+        assert got[d]["near_edited"] == pytest.approx(likeness(own, edited)) and got[d]["near_next"] == pytest.approx(likeness(own, after))
+        marks = [x.split(":") for x in got[d]["fingerprint"].split(",") if x]
+        assert sorted(int(n) for _, n in marks) == sorted(map(len, set(plain_chunks(own.encode()))))
