@@ -2,7 +2,7 @@
 
 Every step is a ``regexp_replace``/``replace`` chain that stays inside
 whole-stage codegen; only the full HTML entity table (``html="full"``) needs a
-vectorised Arrow UDF.  Order of steps is fixed:
+vectorised Arrow UDF, for the references alone.  Order of steps is fixed:
 html -> url -> mention -> hashtag -> repeats -> whitespace.
 
 The character classes re-express Python ``re`` Unicode semantics for Java
@@ -20,7 +20,8 @@ from __future__ import annotations
 import html as _html
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,20 +80,34 @@ def coerce_text(col: Column | str, null_as: str | None = None) -> Column:
     return c if null_as is None else F.coalesce(c, F.lit(null_as))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_full(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: _html.unescape(x) if isinstance(x, str) else x)
+#: What the single-pass decoder of the standard library takes for a reference, in Java's syntax.
+REFERENCE_PATTERN = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _decoded(references: pa.Array) -> pa.Array:
+    """Lists of references, each decoded; a distinct one is decoded once a batch."""
+    flat = references.flatten().dictionary_encode()
+    known = pa.array([_html.unescape(r) for r in flat.dictionary.to_pylist()], pa.string())
+    sizes = np.diff(references.offsets.to_numpy())
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), known.take(flat.indices))
 
 
 def decode_html(col: Column | str, mode: str = "basic") -> Column:
     """HTML entities.  ``basic`` = native replace chain of common named
     entities (codegen, SQL-portable); ``full`` = complete HTML5 table incl.
-    numeric references via an Arrow-batched UDF.  Only texts with an ``&`` can
-    change, so only they are sent to Python."""
+    numeric references via an Arrow-batched UDF.  Only the references travel to
+    Python and back; a text is split at them and put together again."""
     c = _c(col)
     if mode == "full":
-        has = c.contains("&")
-        return F.when(has, _unescape_full(F.when(has, c))).otherwise(c)
+        has, none = c.contains("&"), F.array().cast("array<string>")
+        found = F.regexp_extract_all(c, F.lit(REFERENCE_PATTERN), 0)
+        decoded = _decoded(F.coalesce(F.when(has, found), none))
+        # one part more than references, the first in front of them
+        parts = F.concat(F.array(F.lit("")), decoded)
+        pieces = F.zip_with(parts, F.split(c, REFERENCE_PATTERN, -1), lambda a, b: F.concat(a, b))
+        return F.when(has, F.array_join(pieces, "")).otherwise(c)
     if mode != "basic":
         raise ValueError(f"unknown html mode {mode!r}")
     decoded = c

@@ -280,12 +280,8 @@ def sparse_rows(
     sublinear TF-IDF, indices ascending.  Texts are dealt by key before they become terms, so
     the terms of a text meet again without an exchange."""
     keys = [key] + list(carry)
-    if tokens_col:
-        src = df.select(*keys, tokens_col).repartition(key)
-    else:
-        src = FE.cleaned_by_key(df, keys, text, fs.clean, [key])
-    terms = FE.doc_terms(src, keys, text, fs.ngram_range, FE.CLEANED, tokens_col=tokens_col, keep_empty=True,
-                         max_length=fs.max_length)
+    terms = FE.terms_by_key(df, keys, text, fs.ngram_range, fs.clean, tokens_col, keep_empty=True,
+                            max_length=fs.max_length, by=[key])
     v = fs.vocab.select("term", "idf", "index")
     j = terms.join(v, "term", "left")
     w = (1.0 + F.ln(F.col("tf"))) * F.col("idf")

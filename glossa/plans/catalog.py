@@ -385,7 +385,7 @@ def decision(spark, sf):
 
 def linear_contributions(spark, sf):
     lab, m = _fixed_model(spark, sf)
-    terms = FE.doc_terms(lab.select("doc_id", "text"), "doc_id", "text", (1, 2))
+    terms = FE.terms_by_key(lab.select("doc_id", "text"), "doc_id", "text", (1, 2))
     return _round(MO.term_contributions(terms, m, "doc_id", 10))
 
 
