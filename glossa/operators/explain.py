@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,7 @@ from glossa.schemas import TOKEN_WEIGHT
 # Surrogate parameters (kernel width, ridge penalty).
 KERNEL_WIDTH = 25.0
 RIDGE_ALPHA = 1.0
+PACKED_FLAGS = 1 << 20  # flags that a task packs at a time, about
 BLOCK = 4096  # words whose masks are unpacked at a time, a multiple of 64
 
 
@@ -58,13 +60,26 @@ def proximity(kept: Column, words: Column) -> Column:
     return F.sqrt(F.exp(-(distance * distance) / (KERNEL_WIDTH * KERNEL_WIDTH)))
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _packed(masks: pa.Array) -> pa.Array:
+    ends, parts, start = masks.offsets.to_numpy().astype(np.int64), [np.zeros(0, np.int64)], 0
+    longs = np.maximum(-(-np.diff(ends) // 64), 1)
+    while start < len(masks):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PACKED_FLAGS, "right")) - 1)
+        sizes, at = np.diff(ends[start:stop + 1]), np.concatenate([[0], np.cumsum(longs[start:stop])])
+        place = np.arange(ends[stop] - ends[start]) + np.repeat(at[:-1] * 64 - (ends[start:stop] - ends[start]), sizes)
+        flags = np.zeros(at[-1] * 64, np.uint8)
+        flags[place] = masks.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False)
+        parts.append(np.packbits(flags, bitorder="little").view(np.int64))
+        start = stop
+    offsets = np.concatenate([[0], np.cumsum(longs)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+
 def packed(mask: str) -> Column:
-    """A boolean array as longs of 64 flags, the first flag in the lowest bit."""
-    m = F.col(mask)
-    runs = F.sequence(F.lit(0), F.greatest(F.floor((F.size(m) - 1) / 64), F.lit(0)).cast("int"))
-    flags = lambda j: F.transform(F.slice(m, j * 64 + 1, 64), lambda b, i: F.when(b, F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.transform(runs, lambda j: F.aggregate(flags(j), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x)))
+    """A boolean array as longs of 64 flags, the first flag in the lowest bit; packed in Arrow batches,
+    ``PACKED_FLAGS`` flags at a time."""
+    return _packed(F.coalesce(F.col(mask), F.array().cast("array<boolean>")))
 
 
 def _unpacked(bits: np.ndarray, words: int) -> np.ndarray:

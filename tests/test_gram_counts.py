@@ -8,6 +8,7 @@ import pytest
 
 from glossa.functions import clean as C
 from glossa.functions import text as TX
+from glossa.operators import explain as X
 from glossa.operators import features as FE
 
 TOKENS = [["a", "b", "a", "b", "a"], [], ["a"], ["b", "b", "b", "c"], ["é", "\U0001F600", "é"]]
@@ -62,3 +63,17 @@ def test_only_references_go_to_python(spark):
     assert {r["i"]: r["d"] for r in df.collect()} == {i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "_decoded(coalesce(CASE WHEN Contains" in plan and "regexp_extract_all" in plan
+
+
+@pytest.mark.parametrize("flags_a_slice", [1, 200, 1 << 20])
+def test_masks_are_packed_in_arrow_batches(spark, flags_a_slice, monkeypatch):
+    monkeypatch.setattr(X, "PACKED_FLAGS", flags_a_slice)
+    rng = np.random.default_rng(7)
+    masks = [rng.random(n) < 0.5 for n in (0, 1, 64, 65, 0, 300)]
+    df = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(masks)], "i long, mask array<boolean>").coalesce(1)
+    got = df.select("i", X.packed("mask").alias("m"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in got.collect():
+        want = masks[r["i"]]
+        assert len(r["m"]) == max(1, -(-len(want) // 64))
+        assert np.array_equal(X._unpacked(np.array([r["m"]], np.int64), len(want))[0], want.astype(float))
