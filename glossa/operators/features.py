@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.clean import clean_col
 from glossa.functions.text import gram_counts, gram_frequency, gram_term, word_tokens
-from glossa.session import cut_lineage, materialized
+from glossa.session import materialized
 
 # Features and scores decode every HTML entity unless told otherwise.
 FULL_CLEAN = {"html": "full"}
@@ -125,7 +125,12 @@ def vocabulary_from_stats(
 ) -> DataFrame:
     """``vocabulary`` on an existing ``term_stats`` table.  The terms of ``min_df`` documents are
     written to the shared folder, as several jobs read them."""
-    st = materialized(stats.select("term", "df", "tf_total").where(F.col("df") >= min_df), "term-stats")
+    return indexed_vocabulary(materialized(stats.select("term", "df", "tf_total").where(F.col("df") >= min_df), "term-stats"),
+                              n_docs, max_features)
+
+
+def indexed_vocabulary(st: DataFrame, n_docs: DataFrame, max_features: int | None = 50_000) -> DataFrame:
+    """``vocabulary`` of a written table of the terms of ``min_df`` documents."""
     st = term_index(st if max_features is None else most_frequent(st, max_features))
     idf = F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
     return st.crossJoin(F.broadcast(n_docs)).select(
@@ -171,12 +176,14 @@ def term_index(terms: DataFrame, name: str = "term", rows: int = RANGE_ROWS) ->
     dealt into ranges of about ``rows``, ranked inside each, and shifted by the sizes of the ranges
     before (one number per range)."""
     n = terms.count() // rows + 1
-    ranged = cut_lineage(terms.repartitionByRange(n, name).withColumn("_p", F.spark_partition_id()))
-    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}
+    # the id of a row is its partition, and in the lower 33 bits its place there
+    ranged = materialized(terms.repartitionByRange(n, name).sortWithinPartitions(name).withColumn(
+        "_at", F.monotonically_increasing_id()), "ranked-terms")
+    part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r["_p"]: r["count"] for r in ranged.groupBy(part.alias("_p")).count().collect()}
     before = list(accumulate((sizes.get(i, 0) for i in range(n)), initial=0))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(name))
-    shift = F.get(F.array(*(F.lit(b) for b in before)), F.col("_p"))
-    return ranged.withColumn("index", (rank + shift - 1).cast("int")).drop("_p")
+    shift = F.get(F.array(*(F.lit(b) for b in before)), part)
+    return ranged.withColumn("index", (place + shift).cast("int")).drop("_at")
 
 
 def count_docs(df: DataFrame) -> DataFrame:

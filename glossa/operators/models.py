@@ -27,7 +27,7 @@ from glossa.config import settings
 from glossa.operators import features as FE
 from glossa.operators.split import class_weights
 from glossa.schemas import LABEL_NAMES
-from glossa.session import cut_lineage, materialized
+from glossa.session import materialized
 from glossa.sources import versions
 from glossa.sources.corpus import path_exists
 
@@ -184,9 +184,10 @@ def term_contributions(
     w = (1.0 + F.ln(F.col("tf"))) * F.col("idf")
     x = j.select(key, "term", (w * F.col("coef")).alias("_wc"), (w * w).alias("_ww"))
     wd = Window.partitionBy(key)
-    x = x.withColumn("contribution", F.col("_wc") / F.sqrt(F.sum("_ww").over(wd)))
-    rk = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("contribution").desc(), F.col("term")))
-    return x.withColumn("rank", rk.cast("bigint")).where(F.col("rank") <= k).select(
+    # the norm is one number per document: ranks are those of the unscaled products, and one sort serves both windows
+    rk = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("_wc").desc(), F.col("term")))
+    x = x.withColumn("rank", rk.cast("bigint")).withColumn("contribution", F.col("_wc") / F.sqrt(F.sum("_ww").over(wd)))
+    return x.where(F.col("rank") <= k).select(
         key, "rank", "term", "contribution")
 
 
@@ -236,8 +237,9 @@ def labelled_log_count_ratio_model(
     (same weights as ``log_count_ratio_model``).  Returns (model, vocabulary)."""
     clean = clean or dict(FE.FULL_CLEAN)
     terms = FE.doc_terms(lab.select(key, label, text), [key, label], text, ngram_range, clean)
-    st = FE.term_stats(terms, label=label)
-    vocab = FE.vocabulary_from_stats(st, FE.count_docs(lab), min_df, max_features)
+    # written: the vocabulary and the weights both read it, and texts are cut into terms once
+    st = materialized(FE.term_stats(terms, label=label).where(F.col("df") >= min_df), "term-stats")
+    vocab = FE.indexed_vocabulary(st.select("term", "df", "tf_total"), FE.count_docs(lab), max_features)
     model = _ratio_model(st, lab, vocab, label, ngram_range=ngram_range, max_features=max_features, clean=clean)
     return model, vocab
 
@@ -335,8 +337,8 @@ def fit_lr(
     data = weighted(vec, train, label, class_weight)
     if vectors is None:
         # The optimiser reads its input once per iteration: cut the lineage into
-        # the shared checkpoint folder so a lost executor re-reads, not recomputes.
-        data = cut_lineage(data)
+        # the shared folder so a lost executor re-reads, not recomputes.
+        data = materialized(data, "training-rows")
     total_w = data.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_d", weightCol="weight",
@@ -374,7 +376,7 @@ ESTIMATORS: Mapping[str, Callable[..., object]] = {
 def fit_other(train_vec: DataFrame, family: str, label: str = "label", class_weight="balanced", C: float = settings.C, **kw):
     """Another Spark ML family on the same feature table, with the class weights of T3.
     Families with a penalty take the strength of T4, ``1 / (C * sum(weights))``."""
-    data = cut_lineage(weighted(train_vec.drop("label_d"), train_vec, label, class_weight))
+    data = materialized(weighted(train_vec.drop("label_d"), train_vec, label, class_weight), "training-rows")
     if family != "naive_bayes" and "regParam" not in kw:
         kw["regParam"] = 1.0 / (C * data.agg(F.sum("weight")).first()[0])
     return ESTIMATORS[family](weightCol="weight", **kw).fit(data)

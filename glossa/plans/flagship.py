@@ -12,7 +12,7 @@ from glossa.operators import models as MO
 from glossa.operators import split as SP
 from glossa.operators.normalize import merge_corpora, normalize
 from glossa.plans import data as D
-from glossa.session import cut_lineage, materialized, read_table
+from glossa.session import materialized, read_table
 
 
 def prepared_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,12 +21,13 @@ def prepared_corpus(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "text", F.col("quality").alias("label"), "lang")
     norm = normalize(raw, source="documents", register_col="lang", keep=["doc_id"])
     merged = merge_corpora([(norm, ["doc_id"])], deduplicate=True)
-    return merged.select(F.col("row_key").alias("doc_id"), "text", "label", "source", "language_register")
+    rows = merged.select(F.col("row_key").alias("doc_id"), "text", "label", "source", "language_register")
+    return materialized(rows, "corpus")  # a split reads keys and labels several times, texts once
 
 
 def train_and_score(spark: SparkSession, sf: str, max_iter: int = settings.max_iter):
     corpus = prepared_corpus(spark, sf)
-    split = cut_lineage(SP.stratified_split(corpus, "doc_id", "label", 0.2, 42))
+    split = materialized(SP.stratified_split(corpus, "doc_id", "label", 0.2, 42), "split")
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     model, ml = MO.fit_lr(train, "doc_id", "text", "label", max_iter=max_iter)
@@ -57,11 +58,11 @@ def select_best_model(spark: SparkSession, sf: str) -> DataFrame:
     corpus = prepared_corpus(spark, sf)
     split = SP.stratified_split(corpus, "doc_id", "label", 0.2, 42)
     train_all = split.where(F.col("split") == "train").drop("split")
-    tv = cut_lineage(SP.stratified_split(train_all, "doc_id", "label", settings.val_size, settings.random_seed, "part"))
+    tv = materialized(SP.stratified_split(train_all, "doc_id", "label", settings.val_size, settings.random_seed, "part"), "split")
     train = tv.where(F.col("part") == "train")
     val = tv.where(F.col("part") == "test")
     fs = MO.fit_features(train, "doc_id", "text")
-    tr_vec = cut_lineage(MO.vectorize(train, fs, "doc_id", "text", carry=["label"]))
+    tr_vec = materialized(MO.vectorize(train, fs, "doc_id", "text", carry=["label"]), "vectors")
     cands = {}
     for C in (0.1, 1.0, 10.0):
         model, _ = MO.fit_lr(train, "doc_id", "text", "label", C=C, fs=fs, vectors=tr_vec)

@@ -81,10 +81,10 @@ def train_checks(spark: SparkSession, sf: str) -> DataFrame:
 
     from glossa.config import settings
     from glossa.operators import split as SP
-    from glossa.session import cut_lineage
+    from glossa.session import materialized
 
-    split = cut_lineage(SP.stratified_split(prepared_corpus(spark, sf), "doc_id", "label", settings.test_size,
-                                            settings.random_seed))
+    split = materialized(SP.stratified_split(prepared_corpus(spark, sf), "doc_id", "label", settings.test_size,
+                                             settings.random_seed), "split")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     fs = MO.fit_features(train)
     model, fitted = MO.fit_lr(train, fs=fs)
