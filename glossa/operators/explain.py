@@ -9,6 +9,10 @@ to the intact text, and fitted with a weighted ridge surrogate per document
 to a long; the surrogate is solved in the space of the samples, whose inner products are
 popcounts, and masks are unpacked ``BLOCK`` words at a time.  Masks are drawn from
 ``xxhash64(doc, sample, word, seed)``, so they do not depend on partitioning.
+
+A linear model whose terms are few enough to hold (``MO.TABLE_TERMS``) scores the samples of a text where
+the text is: texts are dealt once, and one Arrow step draws the masks, scores and fits (``text_samples``),
+so no sample becomes a row.  Any other scorer gets every sample as a row.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from pyspark.sql import types as T
 from glossa.config import settings
 from glossa.operators import features as FE
 from glossa.operators import models as MO
+from glossa.operators import text_samples as TS
 from glossa.operators.scorers import LinearScorer, Scorer
 from glossa.schemas import TOKEN_WEIGHT
+from glossa.session import materialized
 
 # Surrogate parameters (kernel width, ridge penalty).
 KERNEL_WIDTH = 25.0
@@ -88,20 +94,21 @@ def _unpacked(bits: np.ndarray, words: int) -> np.ndarray:
     return flags[:, :words].astype(np.float64)
 
 
-def surrogate(bits: np.ndarray, words: int, y: np.ndarray) -> np.ndarray:
-    """Weights of the words in a weighted ridge fit of ``y`` on the masks ``bits`` (samples x longs).
+def surrogate(bits: np.ndarray, words: int, y: np.ndarray, copies: int = 1) -> np.ndarray:
+    """Weights of the words in a weighted ridge fit of ``y`` on the masks ``bits`` (samples x longs), each
+    sample taken ``copies`` times.
 
     The dual form needs the samples' inner products, and each word's weight is a sum over samples;
     so nothing of size samples x words is held."""
     n, step = len(y), BLOCK // 64
-    bits = np.ascontiguousarray(bits).view(np.uint64)  # a count of bits takes signed numbers by their magnitude
     blocks = [(i, bits[:, i:i + step]) for i in range(0, bits.shape[1], step)]
     inner = np.zeros((n, n))
-    for _, part in blocks:
-        for row in range(n):
-            inner[row] += np.bitwise_count(part & part[row]).sum(axis=1, dtype=np.int64)
+    for i, part in blocks:
+        # products of a block are counts below 2 ** 24: exact in single precision
+        X = _unpacked(part, min(words - i * 64, BLOCK)).astype(np.float32)
+        inner += X @ X.T
     dist = (1.0 - np.sqrt(np.diag(inner) / words)) * 100.0
-    sw = np.sqrt(np.exp(-(dist ** 2) / KERNEL_WIDTH ** 2))
+    sw = copies * np.sqrt(np.exp(-(dist ** 2) / KERNEL_WIDTH ** 2))
     total, root = sw.sum(), np.sqrt(sw)
     # the weighted mean mask is sw @ X / total, so its products follow from the samples' own
     with_mean = inner @ sw / total
@@ -116,31 +123,30 @@ def surrogate(bits: np.ndarray, words: int, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _strongest(words: list[str], coef: np.ndarray, num_features: int) -> list[tuple[str, float]]:
+    """The ``num_features`` words of largest absolute weight (ties: by word), in that order."""
+    largest = np.argpartition(-np.abs(coef), min(num_features, len(words)) - 1)[:num_features]
+    near = np.flatnonzero(np.abs(coef) >= np.abs(coef[largest]).min())  # with all ties of the last
+    order = sorted(near.tolist(), key=lambda i: (-abs(coef[i]), words[i]))[:num_features]
+    return [(words[i], float(coef[i])) for i in order]
+
+
 def _surrogate_fn(key: str, num_features: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
         words = list(pdf["words"].iloc[0])
         bits = np.stack([np.asarray(m, dtype=np.int64) for m in pdf["mask"]])
         coef = surrogate(bits, len(words), pdf["probability"].to_numpy(dtype=np.float64))
-        largest = np.argpartition(-np.abs(coef), min(num_features, len(words)) - 1)[:num_features]
-        near = np.flatnonzero(np.abs(coef) >= np.abs(coef[largest]).min())  # with all ties of the last
-        order = sorted(near.tolist(), key=lambda i: (-abs(coef[i]), words[i]))[:num_features]
-        return pd.DataFrame({key: pdf[key].iloc[0], "token": [words[i] for i in order],
-                             "weight": [float(coef[i]) for i in order]})
+        best = _strongest(words, coef, num_features)
+        return pd.DataFrame({key: pdf[key].iloc[0], "token": [w for w, _ in best], "weight": [x for _, x in best]})
 
     return fit
 
 
-def explain(
-    df: DataFrame, model: MO.LinearTextModel | Scorer, key: str = "doc_id", text: str = "text",
-    num_samples: int = settings.explain_samples, num_features: int = settings.explain_features,
-    seed: int = settings.random_seed,
+def _of_rows(
+    df: DataFrame, scorer: Scorer, key: str, text: str, num_samples: int, num_features: int, seed: int,
 ) -> DataFrame:
-    """``key, text, probability, decision, threshold, tokens, model_version``.
-
-    ``tokens`` is array<struct<token, weight>> sorted by |weight| descending.  Any scorer
-    can be explained; one that is not linear gets the kept words joined by spaces."""
-    scorer = LinearScorer(model) if isinstance(model, MO.LinearTextModel) else model
+    """(key, text, probability, tokens): every sample is a row, scored by the scorer; a group is a document."""
     clean = scorer.model.clean if isinstance(scorer, LinearScorer) else None
     pert = perturbations(df, key, text, num_samples, seed, clean)
     if isinstance(scorer, LinearScorer):
@@ -159,7 +165,86 @@ def explain(
     tokens = weights.groupBy(key).agg(
         MO.sort_token_weights(F.collect_list(F.struct("token", "weight").cast(TOKEN_WEIGHT))).alias("tokens"))
     intact = scored.where(F.col("sample") == 0).select(key, "probability")
-    res = df.select(key, text).join(intact, key).join(tokens, key, "left").withColumn(
+    return df.select(key, text).join(intact, key).join(tokens, key, "left").withColumn(
         "tokens", F.coalesce("tokens", F.array().cast(T.ArrayType(TOKEN_WEIGHT))))
+
+
+def _explainer(table, intercept: float, num_samples: int, num_features: int, seed: int):
+    """The Arrow step of ``_of_texts``: (hash of the key, tokens, copies of the row) -> (probability, tokens)."""
+
+    def one(words: pa.Array, number: np.ndarray, at: np.ndarray, hashed_key: int, copies: int):
+        draw = TS.Draw(hashed_key, words, num_samples, seed)
+        bits = np.zeros((num_samples, -(-len(words) // 64) * 8), np.uint8)
+        dot, square = np.empty(num_samples), np.empty(num_samples)
+        step = max(1, TS.FLAGS // len(at))
+        for i in range(0, num_samples, step):
+            kept = draw.kept(i, min(num_samples, i + step))
+            own = slice(i, i + len(kept))
+            dot[own], square[own] = table.value.sums(kept, at, number)
+            raw = np.packbits(kept, axis=1, bitorder="little")
+            bits[own, :raw.shape[1]] = raw
+        # rows of one key are scored together: a row that comes ``copies`` times adds its terms as often
+        z = np.divide(copies * dot, np.sqrt(copies * square), out=np.zeros(num_samples), where=square > 0) + intercept
+        y = 1.0 / (1.0 + np.exp(-z))
+        return float(y[0]), _strongest(words.to_pylist(), surrogate(bits.view(np.int64), len(words), y, copies), num_features)
+
+    @F.arrow_udf(T.StructType([T.StructField("probability", T.DoubleType()), T.StructField("tokens", T.ArrayType(TOKEN_WEIGHT))]))
+    def explained(hashed: pa.Array, tokens: pa.Array, copies: pa.Array) -> pa.Array:
+        words, texts = TS.distinct_tokens(tokens)
+        number = table.value.numbers(words)
+        none = 1.0 / (1.0 + float(np.exp(-intercept)))
+        probability, ends, best = [], [0], []
+        for (own, at), hashed_key, n in zip(texts, hashed.to_pylist(), copies.to_pylist()):
+            p, found = one(words.take(pa.array(own)), number[own], at, hashed_key, n) if len(own) else (none, [])
+            probability.append(p)
+            best += found
+            ends.append(len(best))
+        pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([x for _, x in best], pa.float64())],
+                                           names=["token", "weight"])
+        return pa.StructArray.from_arrays([pa.array(probability, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                                          names=["probability", "tokens"])
+
+    return explained
+
+
+def _of_texts(
+    df: DataFrame, model: MO.LinearTextModel, table: TS.TermTable, key: str, text: str, num_samples: int, num_features: int, seed: int,
+) -> DataFrame:
+    """(key, text, probability, tokens) of rows whose key names one text, as ``_of_rows`` gives them: texts are
+    dealt by key, and a row that comes several times is explained once."""
+    spark = df.sparkSession
+    step = _explainer(spark.sparkContext.broadcast(table), MO.intercept_value(model), num_samples, num_features, seed)
+    own = df.select(key, text).where(F.col(key).isNotNull()).repartition(key)
+    own = own.groupBy(key, text).agg(F.count(F.lit(1)).alias("_m"))
+    tokens = F.coalesce(FE.doc_tokens(own, text, model.clean), F.array().cast("array<string>"))
+    out = own.select(key, text, "_m", step(F.xxhash64(key), tokens, "_m").alias("_e"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("_m").cast("int")))
+    return out.select(key, text, "_e", copies.alias("_c")).select(key, text, "_e.probability", "_e.tokens")
+
+
+def explain(
+    df: DataFrame, model: MO.LinearTextModel | Scorer, key: str = "doc_id", text: str = "text",
+    num_samples: int = settings.explain_samples, num_features: int = settings.explain_features,
+    seed: int = settings.random_seed,
+) -> DataFrame:
+    """``key, text, probability, decision, threshold, tokens, model_version``.
+
+    ``tokens`` is array<struct<token, weight>> sorted by |weight| descending.  Any scorer
+    can be explained; one that is not linear gets the kept words joined by spaces.  Rows of one
+    key are scored together."""
+    scorer = LinearScorer(model) if isinstance(model, MO.LinearTextModel) else model
+    table = MO.term_table(scorer.model) if isinstance(scorer, LinearScorer) else None
+    options = (key, text, num_samples, num_features, seed)
+    if table is None:
+        res = _of_rows(df, scorer, *options)
+    else:
+        digest = F.xxhash64(text)
+        several = materialized(df.groupBy(key).agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where(
+            F.col(key).isNotNull() & (F.col("a") != F.col("b"))).select(key), "keys-of-several-texts")
+        if several.isEmpty():
+            res = _of_texts(df, scorer.model, table, *options)
+        else:
+            res = _of_texts(df.join(several, key, "left_anti"), scorer.model, table, *options).unionByName(
+                _of_rows(df.join(several, key, "left_semi"), scorer, *options))
     return MO.with_decision(res, scorer).select(key, text, "probability", "decision", "threshold",
                                                "tokens", "model_version")

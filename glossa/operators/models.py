@@ -26,11 +26,14 @@ from pyspark.sql import types as T
 from glossa.config import settings
 from glossa.operators import features as FE
 from glossa.operators.split import class_weights
+from glossa.operators.text_samples import TermTable
 from glossa.schemas import LABEL_NAMES
 from glossa.session import materialized
 from glossa.sources import versions
 from glossa.sources.corpus import path_exists
 
+TABLE_TERMS = 1 << 20  # terms of a linear model that go to the driver and to every worker, at most
+
 
 @dataclass
 class LinearTextModel:
@@ -149,6 +152,22 @@ def score(
     return score_terms(terms, model, key, carry)
 
 
+def intercept_value(model: LinearTextModel) -> float:
+    icpt = model.intercept
+    return float(icpt.first()["intercept"] if isinstance(icpt, DataFrame) else icpt)
+
+
+def term_table(model: LinearTextModel) -> TermTable | None:
+    """The model's terms for use inside a task, or None if there are more than ``TABLE_TERMS``.  A term of
+    several rows adds up as the join of ``score_terms`` has it."""
+    params = model.params.where(F.col("term").isNotNull()).groupBy("term").agg(
+        F.coalesce(F.sum(F.col("idf") * F.col("coef")), F.lit(0.0)).alias("dot"),
+        F.coalesce(F.sum(F.col("idf") * F.col("idf")), F.lit(0.0)).alias("square"))
+    if model.params.count() > TABLE_TERMS:
+        return None
+    return TermTable(params.toArrow(), *model.ngram_range, model.max_length)
+
+
 def decide(prob: Column | str, threshold: float = settings.threshold,
            label_names: Sequence[str] = LABEL_NAMES) -> Column:
     """``>=`` threshold -> positive name, else negative name."""

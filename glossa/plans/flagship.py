@@ -133,7 +133,7 @@ def explain_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fixed_model_materialised(spark: SparkSession, sf: str) -> MO.LinearTextModel:
-    lab = D.labelled(spark, sf)
+    lab = D.labelled(spark, sf).repartition("doc_id")  # a large table may come in few row groups, each read by one task
     m, _ = MO.labelled_log_count_ratio_model(lab, "doc_id", "label", "text", (1, 2), None, 2, 50_000)
     m.params = materialized(m.params, "params")
     m.intercept = float(m.intercept.first()["intercept"])
